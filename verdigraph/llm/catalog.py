@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from verdigraph.llm import names
+from verdigraph.llm import names, texts
 
-_PARTS = (names,)
+_PARTS = (names, texts)
 
 
 def queries() -> dict:

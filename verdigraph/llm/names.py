@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigraph.llm import lookalikes
+from verdigraph.llm import duplicates, groups, lookalikes
 from verdigraph.plans.hierarchies import NOT_BLANK
 from verdigraph.runtime import table
 
@@ -29,8 +29,55 @@ def p2_forms(spark: SparkSession, folder: str) -> DataFrame:
     return lookalikes.visible_form(graph_names(spark, folder).distinct(), "name")
 
 
+def entity_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """graph_id, pos, entry of each graph once, spread by graph and entry."""
+    once = table(spark, folder, "knowledge_graph_partial").select("graph_id", "entities").dropDuplicates(["graph_id"])
+    return once.select("graph_id", F.posexplode("entities").alias("pos", "entry")).filter("entry is not null").repartition("graph_id", "entry")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return duplicates.copies(entity_rows(spark, folder), ["graph_id"], "entry", "pos")
+
+
+def p4_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Every record of a graph once, with its number of copies."""
+    return duplicates.records(entity_rows(spark, folder), ["graph_id"], "entry", "pos").withColumn("record", F.array_join("record", "; "))
+
+
+def same_concept(spark: SparkSession, folder: str) -> DataFrame:
+    """graph_id, a, b: the links of all model responses."""
+    keyed = table(spark, folder, "clean").select("graph_id", F.explode("canonical").alias("a", "aliases"))
+    return keyed.select("graph_id", "a", F.explode("aliases").alias("b")).filter(F.col("b").rlike(NOT_BLANK))
+
+
+def _members(spark: SparkSession, folder: str) -> DataFrame:
+    """graph_id, name, group of names that are entities."""
+    made = groups.consolidate(same_concept(spark, folder), ["graph_id"], "a", "b")
+    entities = table(spark, folder, "knowledge_graph_partial").select("graph_id", F.explode("entities").alias("name"))
+    return made.join(entities, ["graph_id", "name"], "left_semi")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    members = _members(spark, folder)
+    first = members.groupBy("graph_id", "group").agg(F.min("name").alias("name_a"))
+    pairs = members.join(first, ["graph_id", "group"]).filter("name <> name_a")
+    return pairs.select("graph_id", "name_a", F.col("name").alias("name_b"))
+
+
+def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Every entity that is linked to something, with its group (the smallest name linked, entity or not)."""
+    return _members(spark, folder)
+
+
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_forms": p2_forms}
+    return {
+        "p2_found": p2_found,
+        "p2_forms": p2_forms,
+        "p4_found": p4_found,
+        "p4_records": p4_records,
+        "p5_found": p5_found,
+        "p5_groups": p5_groups,
+    }
 
 
 def _form_sql(column: str) -> str:
@@ -57,9 +104,33 @@ names AS (
 """
 
 
+_RECORDS = r"""
+WITH g AS (SELECT DISTINCT graph_id, entities FROM knowledge_graph_partial),
+e AS (SELECT graph_id, unnest(entities) AS entry, generate_subscripts(entities, 1) - 1 AS pos FROM g),
+k AS (SELECT graph_id, pos::INTEGER AS pos, entry, list_sort(list_filter(list_transform(string_split_regex(lower(entry), '[;|]'),
+        lambda f: regexp_replace(f, '[\pZ\pP\s\x0b\x{85}]+', '', 'g')), lambda f: f <> '')) AS fields FROM e WHERE entry IS NOT NULL),
+r AS (SELECT graph_id, pos, entry, fields, min(pos) OVER (PARTITION BY graph_id, fields) AS first FROM k WHERE len(fields) > 0)
+"""
+
+_GROUPS = r"""
+WITH RECURSIVE k AS (SELECT graph_id, unnest(map_entries(canonical)) AS e FROM clean),
+l AS (SELECT graph_id, e.key AS a, unnest(e.value) AS b FROM k),
+w AS (SELECT * FROM l WHERE regexp_matches(b, '[^\s\pZ]')),
+links AS (SELECT * FROM w UNION SELECT graph_id, b, a FROM w),
+reach AS (SELECT graph_id, a, a AS b FROM links UNION SELECT r.graph_id, r.a, l.b FROM reach r JOIN links l ON l.graph_id = r.graph_id AND l.a = r.b),
+entities AS (SELECT DISTINCT graph_id, unnest(entities) AS name FROM knowledge_graph_partial)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     forms = _NAMES + f", forms AS (SELECT graph_id, name, {_form_sql('name')} AS form FROM names)"
     return {
         "p2_found": forms + " SELECT a.graph_id, a.name AS name_a, b.name AS name_b FROM forms a JOIN forms b ON a.graph_id = b.graph_id AND a.form = b.form AND a.name < b.name",
         "p2_forms": forms + " SELECT graph_id, name, form FROM forms",
+        "p4_found": _RECORDS + "SELECT graph_id, first AS pos_a, pos AS pos_b FROM r WHERE pos > first",
+        "p4_records": _RECORDS + """SELECT graph_id, array_to_string(fields, '; ') AS record, count(*) AS copies, first, min_by(entry, pos) AS entry
+FROM r GROUP BY graph_id, fields, first""",
+        "p5_found": _GROUPS + """, m AS (SELECT r.graph_id, r.a AS name, min(r.b) AS name_a FROM reach r JOIN entities n ON n.graph_id = r.graph_id AND n.name = r.b GROUP BY ALL)
+SELECT m.graph_id, m.name_a, m.name AS name_b FROM m JOIN entities n ON n.graph_id = m.graph_id AND n.name = m.name WHERE m.name <> m.name_a""",
+        "p5_groups": _GROUPS + """SELECT r.graph_id, r.a AS name, min(r.b) AS "group" FROM reach r JOIN entities n ON n.graph_id = r.graph_id AND n.name = r.a GROUP BY ALL""",
     }
