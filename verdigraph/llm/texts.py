@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigraph.llm import splitting
-from verdigraph.runtime import table
+from verdigraph.llm import encoding, packing, splitting
+from verdigraph.runtime import checkpointed, table
 
 
 def limits(spark: SparkSession, folder: str) -> list[tuple[int, int, int]]:
@@ -25,8 +25,25 @@ def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split(table(spark, folder, "documents"), "doc_id", "text", limits(spark, folder))
 
 
+def p6_ids(spark: SparkSession, folder: str, tokenizers: str = encoding.FOLDER) -> DataFrame:
+    return encoding.encode(table(spark, folder, "documents"), "doc_id", "text", "byte_bpe_50k", tokenizers)
+
+
+def p7_packed(spark: SparkSession, folder: str, tokenizers: str = encoding.FOLDER) -> DataFrame:
+    """Every document, or piece of one above the capacity, in a container of every budget."""
+    budgets = table(spark, folder, "token_budgets").orderBy("budget_id").collect()  # a table of fixed size
+    parts = []
+    for tokenizer in sorted({b.tokenizer for b in budgets}):
+        sizes = checkpointed(encoding.token_counts(table(spark, folder, "documents"), "doc_id", "text", tokenizer, tokenizers))
+        parts.append(packing.pack(sizes, "doc_id", "n_tokens", [(b.budget_id, b.capacity) for b in budgets if b.tokenizer == tokenizer]))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def queries() -> dict:
-    return {"p3_found": p3_found, "p3_pieces": p3_pieces}
+    return {"p3_found": p3_found, "p3_pieces": p3_pieces, "p6_ids": p6_ids, "p7_packed": p7_packed}
 
 
 _SPACE = r"[\s\pZ\x0b\x1c-\x1f\x85\x{E000}]"
