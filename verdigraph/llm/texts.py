@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigraph.llm import encoding, packing, splitting
+from verdigraph.llm import encoding, languages, packing, splitting
 from verdigraph.runtime import checkpointed, table
 
 
@@ -42,8 +42,34 @@ def p7_packed(spark: SparkSession, folder: str, tokenizers: str = encoding.FOLDE
     return out
 
 
+def _languages(spark: SparkSession, folder: str, emit: str) -> DataFrame:
+    return languages.identify(table(spark, folder, "documents"), "doc_id", "text", "lang", table(spark, folder, "lang_samples"), emit)
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _languages(spark, folder, "cases")
+
+
+def p8_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The languages of every document, with confidence, and what to think of its label."""
+    return _languages(spark, folder, "documents")
+
+
+def p8_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Every passage of one language, with confidence."""
+    return _languages(spark, folder, "passages")
+
+
 def queries() -> dict:
-    return {"p3_found": p3_found, "p3_pieces": p3_pieces, "p6_ids": p6_ids, "p7_packed": p7_packed}
+    return {
+        "p3_found": p3_found,
+        "p3_pieces": p3_pieces,
+        "p6_ids": p6_ids,
+        "p7_packed": p7_packed,
+        "p8_found": p8_found,
+        "p8_documents": p8_documents,
+        "p8_passages": p8_passages,
+    }
 
 
 _SPACE = r"[\s\pZ\x0b\x1c-\x1f\x85\x{E000}]"
