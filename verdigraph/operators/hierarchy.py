@@ -65,7 +65,11 @@ def hierarchy(edges: DataFrame, scope: list[str], child: str, parent: str, emit:
 
         same = lambda row: _all([F.col(k).eqNullSafe(F.lit(row[k])) for k in keys])
         is_large = _any([same(row) for row in large])
-        found = wide_hierarchy(links.filter(is_large), keys, emit)
+        number = F.coalesce(*[F.when(same(row), F.lit(i)) for i, row in enumerate(large)])  # joins need keys that aren't null
+        found = wide_hierarchy(links.filter(is_large).select(number.alias("large"), "child", "parent"), ["large"], emit)
+        for k in keys:
+            value = F.coalesce(*[F.when(F.col("large") == i, F.lit(row[k])) for i, row in enumerate(large)])
+            found = found.withColumn(k, value.cast(links.schema[k].dataType))
         links = links.filter(~is_large)
     fields = T.StructType([T.StructField(k, links.schema[k].dataType) for k in keys] + list(T._parse_datatype_string(COLUMNS[emit]).fields))
     names = [f.name for f in fields]
