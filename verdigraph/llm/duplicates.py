@@ -8,8 +8,8 @@ The fields of an entry are the parts between ``;`` or ``|``. Of a field only wha
 punctuation (categories Z and P, tabs, line breaks) counts, in lower case. The canonical form is the sorted array of the
 fields with something left; the same fields in any order, each as often, are the same record.
 
-Defined cases: null entries and entries without fields are no records and have no row; ties of position can't be (a
-position is unique in its scope); entries of any length are compared whole; repeated rows are copies.
+Defined cases: null entries and entries without fields are no records and have no row; an entry is known by its scope and
+position, so the same row again is no further copy; entries of any length are compared whole.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Positions of an entry that a row holds at most.
+BLOCK = 65_536
 #: What doesn't count in a field.
 IGNORED = r"[\p{Z}\p{P}\t\n\x0b\f\r\x85]+"
 
@@ -28,24 +30,26 @@ def canonical(entry: Column) -> Column:
 
 
 def survivors(rows: DataFrame, scope: list[str], entry: str, position: str) -> DataFrame:
-    """Distinct entries of each scope: copies, first position, canonical form."""
-    met = rows.filter(F.col(entry).isNotNull()).groupBy(*scope, entry).agg(F.count(F.lit(1)).alias("copies"), F.min(position).alias("first"))
+    """Distinct entries of each scope, a row per ``BLOCK`` positions: the positions they are at, and canonical form.
+
+    A row that comes twice with one position is one entry. The positions of a row are at most ``BLOCK``, so an entry
+    repeated without end is many small rows.
+    """
+    block = F.floor(F.col(position) / BLOCK).alias("block")
+    met = rows.filter(F.col(entry).isNotNull()).groupBy(*scope, entry, block).agg(F.collect_set(position).alias("at"))
     return met.withColumn("record", canonical(F.col(entry))).filter(F.size("record") > 0)
 
 
 def records(rows: DataFrame, scope: list[str], entry: str, position: str) -> DataFrame:
     """One row per record: scope, record, copies, first position and the entry there."""
     own = survivors(rows, scope, entry, position)
-    return own.groupBy(*scope, "record").agg(F.sum("copies").alias("copies"), F.min("first").alias("first"), F.min_by(entry, "first").alias("entry"))
+    first = F.array_min("at")
+    return own.groupBy(*scope, "record").agg(F.sum(F.size("at")).alias("copies"), F.min(first).alias("first"), F.min_by(entry, first).alias("entry"))
 
 
 def copies(rows: DataFrame, scope: list[str], entry: str, position: str) -> DataFrame:
-    """scope, pos_a, pos_b: for each entry but the first of a record the first and its own position.
-
-    ``rows`` should be partitioned by scope and entry: then entries meet their record without another shuffle of them.
-    """
+    """scope, pos_a, pos_b: for each entry but the first of a record the first and its own position."""
     own = survivors(rows, scope, entry, position)
-    several = own.groupBy(*scope, "record").agg(F.sum("copies").alias("all"), F.min("first").alias("pos_a")).filter(F.col("all") > 1)
-    known = own.join(several, [*scope, "record"]).select(*scope, entry, "pos_a")
-    met = rows.join(known, [*scope, entry]).filter(F.col(position) > F.col("pos_a"))
-    return met.select(*scope, "pos_a", F.col(position).alias("pos_b"))
+    several = own.groupBy(*scope, "record").agg(F.sum(F.size("at")).alias("all"), F.min(F.array_min("at")).alias("pos_a")).filter(F.col("all") > 1)
+    met = own.select(*scope, "record", "at").join(several.select(*scope, "record", "pos_a"), [*scope, "record"])
+    return met.select(*scope, "pos_a", F.explode("at").alias("pos_b")).filter("pos_b > pos_a")
