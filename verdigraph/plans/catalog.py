@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from verdigraph.plans import hierarchies
+from verdigraph.plans import graphs, hierarchies
 
-_PARTS = (hierarchies,)
+_PARTS = (graphs, hierarchies)
 
 
 def queries() -> dict:
