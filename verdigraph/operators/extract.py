@@ -15,15 +15,15 @@ def _is(value: Column, kind: str) -> Column:
 def concepts(df: DataFrame, raw: str, *keep: str) -> DataFrame:
     """Names of a JSON array: its strings, stripped, without blank ones. ``raw`` is a variant column."""
     items = df.select(*keep, F.col(raw).alias("raw")).filter(_is(F.col("raw"), "ARRAY"))
-    items = items.select(*keep, F.explode(F.col("raw").cast("array<variant>")).alias("x")).filter(_is(F.col("x"), "STRING"))
-    return items.select(*keep, strip(F.col("x").cast("string")).alias("name")).filter("name <> ''")
+    items = items.select(*keep, F.explode(F.col("raw").try_cast("array<variant>")).alias("x")).filter(_is(F.col("x"), "STRING"))
+    return items.select(*keep, strip(F.col("x").try_cast("string")).alias("name")).filter("name <> ''")
 
 
 def triples(df: DataFrame, raw: str, *keep: str) -> DataFrame:
     """pos, source, relation, target of a JSON array's elements that are arrays of three strings."""
     items = df.select(*keep, F.col(raw).alias("raw")).filter(_is(F.col("raw"), "ARRAY"))
-    items = items.select(*keep, F.posexplode(F.col("raw").cast("array<variant>")).alias("pos", "x")).filter(_is(F.col("x"), "ARRAY"))
-    items = items.select(*keep, "pos", F.col("x").cast("array<variant>").alias("x"))
+    items = items.select(*keep, F.posexplode(F.col("raw").try_cast("array<variant>")).alias("pos", "x")).filter(_is(F.col("x"), "ARRAY"))
+    items = items.select(*keep, "pos", F.col("x").try_cast("array<variant>").alias("x"))
     three = (F.size("x") == 3) & F.forall("x", lambda v: _is(v, "STRING"))
     part = lambda i: F.get(F.col("x"), F.lit(i)).try_cast("string")
     return items.filter(three).select(*keep, "pos", part(0).alias("source"), part(1).alias("relation"), part(2).alias("target"))

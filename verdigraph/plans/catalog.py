@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from verdigraph.plans import graphs, hierarchies
+from verdigraph.streaming import triples
 
-_PARTS = (graphs, hierarchies)
+_PARTS = (graphs, hierarchies, triples)
 
 
 def queries() -> dict:

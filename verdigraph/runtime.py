@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +24,20 @@ def local_session(name: str = "verdigraph", cpus: str = "*", partitions: int = 8
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per context, in case it isn't installed there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_verdigraph", False):
+        return
+    here = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="verdigraph-")) / "verdigraph.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(here.rglob("*.py")):
+            z.write(path, path.relative_to(here.parent))
+    sc.addPyFile(str(archive))
+    sc._verdigraph = True
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
