@@ -101,11 +101,11 @@ def pack(sizes: DataFrame, key: str, size: str, budgets: list[tuple[int, int]],
         raise ValueError("a capacity below 1")
     kinds = F.array(*[F.struct(F.lit(b).alias("budget_id"), F.lit(c).cast("long").alias("capacity")) for b, c in budgets])
     n = F.coalesce(F.col(size).cast("long"), F.lit(0).cast("long"))
-    items = sizes.select(F.col(key), n.alias("whole"), F.explode(kinds).alias("k")).select(key, "whole", "k.*")
+    items = sizes.select(F.col(key).alias("key"), n.alias("whole"), F.explode(kinds).alias("b")).select("key", "whole", "b.*")
     last = F.greatest(F.ceil(F.col("whole") / F.col("capacity")), F.lit(1)) - 1
     items = items.withColumn("piece_no", F.explode(F.sequence(F.lit(0).cast("long"), last))).withColumn("first_token", F.col("piece_no") * F.col("capacity"))
     items = items.withColumn("n_tokens", F.least("capacity", F.col("whole") - F.col("first_token"))).drop("whole", "capacity")
-    items = items.withColumn("bucket", F.pmod(F.xxhash64(key, "piece_no"), F.lit(BUCKETS)).cast("int"))
+    items = items.withColumn("bucket", F.pmod(F.xxhash64("key", "piece_no"), F.lit(BUCKETS)).cast("int"))
     group = ["budget_id", "n_tokens", "bucket"]
     by_bucket = items.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
     found = by_bucket.groupBy("budget_id", "n_tokens").agg(F.sum("n").alias("n")).collect()  # at most a number per budget and size
@@ -123,9 +123,9 @@ def pack(sizes: DataFrame, key: str, size: str, budgets: list[tuple[int, int]],
     bounds = [np.array(tiers(c)[::-1]) for _, c in budgets]
 
     before = by_bucket.withColumn("before", F.sum("n").over(W.partitionBy("budget_id", "n_tokens").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)))
-    ranked = items.withColumn("rank", F.row_number().over(W.partitionBy(*group).orderBy(key, "piece_no")))
+    ranked = items.withColumn("rank", F.row_number().over(W.partitionBy(*group).orderBy("key", "piece_no")))
     ranked = ranked.join(before.select(*group, F.coalesce("before", F.lit(0)).alias("before")), group)
-    ranked = ranked.select("budget_id", key, "piece_no", "first_token", "n_tokens", (F.col("rank") - 1 + F.col("before")).cast("long").alias("rank"))
+    ranked = ranked.select("budget_id", "key", "piece_no", "first_token", "n_tokens", (F.col("rank") - 1 + F.col("before")).cast("long").alias("rank"))
     fields = "piece_no int, first_token long, n_tokens long, container_id long, container_offset long, tier int, step_group long"
     schema = T.StructType([ranked.schema["budget_id"], sizes.schema[key], *T._parse_datatype_string(fields).fields])
     names = [f.name for f in schema]
@@ -152,7 +152,7 @@ def pack(sizes: DataFrame, key: str, size: str, budgets: list[tuple[int, int]],
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("budget_id"),
-                    batch.column(key),
+                    batch.column("key"),
                     batch.column("piece_no").cast(pa.int32()),
                     batch.column("first_token"),
                     batch.column("n_tokens"),

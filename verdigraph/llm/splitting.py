@@ -85,8 +85,8 @@ def cut(layout: Layout, sums: np.ndarray | None, size: int, overlap: int) -> dic
     out: list[tuple[np.ndarray, ...]] = []
     while len(row):
         paragraph = np.searchsorted(paragraphs, fresh, "right") - 1
-        limit = reach(start, size)
-        stop, kind = np.minimum(limit, final), np.full(len(row), len(KINDS) - 1)
+        limit = np.minimum(reach(start, size), final)  # never into the next text
+        stop, kind = limit, np.full(len(row), len(KINDS) - 1)
         stop = np.where(stop <= fresh, fresh + 1, stop)  # a character larger than the size stays whole
         open_ = np.ones(len(row), bool)
         for k, name in enumerate(KINDS[:-1]):
