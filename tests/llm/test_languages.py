@@ -29,7 +29,7 @@ def test_held_out(samples):
     [
         ("One two three. Four five six! Seven eight nine?", 3), ("# A heading of words.\n", 0), ("| a b c d. |", 0), ("```\nthis is some code.\n```\nBut this is none.", 1),
         ("no stop at the end", 0), ("Too short.", 0), ("kavusk_samesk_gileklum_parul.", 0), ("It costs 3.5 in this shop.", 1), ("- A point of a list.\r\n> A word of others.", 2),
-        ("", 0), (" \n ", 0), ("One two three.😀", 1), ("**Term**: It means a thing.", 1),
+        ("", 0), (" \n ", 0), ("One two three.😀", 1), ("One two three.xxxxx", 1), ("One two three.ááá x\nNo stop in v3.5 either way", 1), ("One two v3.5", 0), ("**Term**: It means a thing.", 1),
     ],
 )
 def test_sentences(text, n):

@@ -8,7 +8,7 @@ which a sentence has no language are set on samples held out.
 Averages of embeddings under a linear layer are averages of each word's own scores, so a worker scores each distinct word
 once; a sentence's scores are sums over its words. Texts are cut into lines and sentences on arrays.
 
-A sentence ends with a stop and has at least ``LEAST`` words; headings (``#``), tables (``|``), fenced code and runs of
+A sentence ends with a stop (characters may stick to it) and has at least ``LEAST`` words; headings (``#``), tables (``|``), fenced code and runs of
 characters without words are none. Passages are runs of sentences of one language; sentences without one join the run.
 
 Defined cases: null, empty and blank texts, and texts without a sentence, have no language; texts are taken whole; a null
@@ -241,6 +241,9 @@ class Sentences:
         stop = np.isin(points, _STOPS)
         after = np.append(points[1:], 32)
         wordish = ((after >= 48) & (after <= 57)) | ((after >= 65) & (after <= 90)) | ((after >= 97) & (after <= 122))
+        digit = (points >= 48) & (points <= 57)
+        number = np.append(False, digit[:-1]) & np.append(digit[1:], False)
+        tight = np.flatnonzero(stop & wordish & ~number)  # before characters stuck to a sentence's end; not in 3.5
         stop &= ~wordish | np.append(begins[1:], True)
         cut = begins.copy()
         cut[1:] |= stop[:-1]
@@ -254,6 +257,11 @@ class Sentences:
         count = np.zeros(n + 1, np.int64)
         count[1:][letters[fresh]] = 1
         count = np.cumsum(count)
+        # A segment without a stop at its end has it at the last one that something sticks to.
+        if len(tight):
+            at = tight[np.maximum(np.searchsorted(tight, seg_end) - 1, 0)]
+            late = ~stopped & (at >= seg_at) & (at < seg_end)
+            seg_end, stopped = np.where(late, at + 1, seg_end), stopped | late
         good = prose[line_of] & (count[seg_end] - count[seg_at] >= LEAST)
         if need_stop:
             good &= stopped
