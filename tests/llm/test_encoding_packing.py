@@ -6,6 +6,7 @@ import random
 
 import pytest
 
+from verdigraph.llm import packing
 from verdigraph.llm.encoding import FOLDER, encode, path_of, token_counts, vocabulary
 from verdigraph.llm.packing import pack, plan
 
@@ -67,7 +68,9 @@ def check(rows, sizes, budgets):
         yield budget, len(fill), -(-sum(n or 0 for n in sizes.values()) // capacity)
 
 
-def test_pack(spark):
+@pytest.mark.parametrize("bucket", [1_000_000, 10])
+def test_pack(spark, monkeypatch, bucket):
+    monkeypatch.setattr(packing, "BUCKET", bucket)
     rng = random.Random(9)
     sizes = {i: rng.choice([0, None, 1, 100, 700, 128, *(rng.randint(1, 300) for _ in range(9))]) for i in range(4000)}
     sizes |= {i: 100 for i in range(4000, 6000)}  # one size has a third of all

@@ -36,6 +36,8 @@ from verdigraph.llm.arrays import code_points, pieces
 #: Samples to train on at most, and labelled documents of each language: the bound of what is collected.
 MOST_SAMPLES = 20_000
 MOST_LABELLED = 60
+#: Characters of a labelled document to be trained on; longer ones are identified like all, but not picked.
+MOST_CHARS = 20_000
 BUCKETS = 1 << 15
 WIDTH = 16
 #: Words a sentence has at least, and sentences a language of several.
@@ -308,12 +310,12 @@ def identify(df: DataFrame, key: str, column: str, label: str, samples: DataFram
     documents: a row per document and language (null: no sentence), with whether its label is missing or wrong or the text
     has several languages. cases: the languages of such documents only. passages: runs of sentences of one language.
     ``samples`` has lang and text; at most ``MOST_SAMPLES`` rows of it are used, and ``MOST_LABELLED`` texts of each
-    language that a label names by its code, picked by a hash of the key.
+    language that a label names by its code, of at most ``MOST_CHARS`` characters, picked by a hash of the key.
     """
     rows = samples.filter("lang is not null and text is not null").select("lang", "text").orderBy("lang", "text").limit(MOST_SAMPLES).collect()
     codes = sorted({r.lang for r in rows})
     spread = W.partitionBy("label").orderBy(F.xxhash64(key), key)
-    sound = df.filter(F.col(column).isNotNull()).select(key, F.col(label).alias("label"), F.col(column).alias("text")).filter(F.col("label").isin(codes))
+    sound = df.filter(F.char_length(column) <= MOST_CHARS).select(key, F.col(label).alias("label"), F.col(column).alias("text")).filter(F.col("label").isin(codes))
     picked = sound.withColumn("n", F.row_number().over(spread)).filter(F.col("n") <= MOST_LABELLED).orderBy("label", "n").collect()
     model = train([(r.lang, r.text) for r in rows], [(r.label, r.text) for r in picked])
     key_type = df.schema[key].dataType

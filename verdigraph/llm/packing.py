@@ -30,7 +30,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Buckets that the items of a size are counted in.
+#: Items of a size that one bucket, ranked by one task, should have about; and the least number of buckets.
+BUCKET = 1_000_000
 BUCKETS = 64
 #: Containers of a step group.
 STEP = 64
@@ -95,7 +96,7 @@ def _places(patterns: list[tuple[int, list[tuple[int, int]]]]) -> tuple[np.ndarr
 def pack(sizes: DataFrame, key: str, size: str, budgets: list[tuple[int, int]], step: int = STEP) -> DataFrame:
     """Rows of budget_id, key, piece_no, first_token, n_tokens, container_id, container_offset, tier, step_group.
 
-    ``sizes`` is read twice and should be a table or a checkpoint; ``budgets`` has (budget_id, capacity).
+    ``sizes`` is read three times and should be a table or a checkpoint; ``budgets`` has (budget_id, capacity).
     """
     if any(c < 1 for _, c in budgets):
         raise ValueError("a capacity below 1")
@@ -105,10 +106,11 @@ def pack(sizes: DataFrame, key: str, size: str, budgets: list[tuple[int, int]],
     last = F.greatest(F.ceil(F.col("whole") / F.col("capacity")), F.lit(1)) - 1
     items = items.withColumn("piece_no", F.explode(F.sequence(F.lit(0).cast("long"), last))).withColumn("first_token", F.col("piece_no") * F.col("capacity"))
     items = items.withColumn("n_tokens", F.least("capacity", F.col("whole") - F.col("first_token"))).drop("whole", "capacity")
-    items = items.withColumn("bucket", F.pmod(F.xxhash64("key", "piece_no"), F.lit(BUCKETS)).cast("int"))
+    found = items.groupBy("budget_id", "n_tokens").agg(F.count(F.lit(1)).alias("n")).collect()  # at most a number per budget and size
+    buckets = max(BUCKETS, -(-max((r.n for r in found), default=0) // BUCKET))
+    items = items.withColumn("bucket", F.pmod(F.xxhash64("key", "piece_no"), F.lit(buckets)).cast("int"))
     group = ["budget_id", "n_tokens", "bucket"]
     by_bucket = items.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    found = by_bucket.groupBy("budget_id", "n_tokens").agg(F.sum("n").alias("n")).collect()  # at most a number per budget and size
     plans, longest = {}, max(c for _, c in budgets) + 1
     for k, (budget, capacity) in enumerate(budgets):
         patterns = plan({r.n_tokens: r.n for r in found if r.budget_id == budget and r.n_tokens}, capacity)
