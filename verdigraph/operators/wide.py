@@ -170,10 +170,9 @@ def _nodes(step: DataFrame, dag: DataFrame, levels: DataFrame, keys: list[str])
     heavy = checkpointed(heavy)
     row = placed.filter("depth = 0").select(*keys, "step", F.col("step").alias("chain"), F.lit(0).alias("chain_pos"), F.array("step").alias("path"))
     parts = [checkpointed(row)]
-    for depth in range(1, last + 1):
+    for depth in range(1, last + 1):  # the deepest parent is one level up
         here = placed.filter(F.col("depth") == depth).join(heavy, [*keys, "above"], "left")
-        up = parts[-1] if depth == 1 else reduce(DataFrame.unionByName, parts)
-        up = up.select(*keys, F.col("step").alias("above"), F.col("chain").alias("c"), F.col("chain_pos").alias("p"), F.col("path").alias("q"))
+        up = parts[-1].select(*keys, F.col("step").alias("above"), F.col("chain").alias("c"), F.col("chain_pos").alias("p"), F.col("path").alias("q"))
         on = F.col("heavy") == F.col("step")
         here = here.join(up, [*keys, "above"]).select(
             *keys, "step", F.when(on, F.col("c")).otherwise(F.col("step")).alias("chain"), F.when(on, F.col("p") + 1).otherwise(0).alias("chain_pos"), F.concat("q", F.array("step")).alias("path")

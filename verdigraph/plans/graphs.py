@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigraph.functions.text import name_key, slug, universal_newlines
+from verdigraph.functions.text import name_key, slug, strip, universal_newlines
 from verdigraph.operators import chunking, clean, curate, extract, graph, view
 from verdigraph.runtime import table
 
@@ -17,9 +17,10 @@ QUALIFIER = r"\s+in (general|practice)\b"
 # --- inputs -----------------------------------------------------------------------------------------------------------
 
 
-def staging(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    """Staging graphs, each once."""
-    return table(spark, folder, "knowledge_graph_partial").select("graph_id", *columns).dropDuplicates(G)
+def staging(spark: SparkSession, folder: str, *columns: str, once: bool = True) -> DataFrame:
+    """Staging graphs, each once; or as loaded, where what follows makes rows distinct anyway: that spares a shuffle of all arrays."""
+    graphs = table(spark, folder, "knowledge_graph_partial").select("graph_id", *columns)
+    return graphs.dropDuplicates(G) if once else graphs
 
 
 def curated(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
@@ -31,20 +32,18 @@ def kinds(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def concepts(spark: SparkSession, folder: str) -> DataFrame:
-    from verdigraph.functions.text import strip
-
-    listed = staging(spark, folder, "entities").select("graph_id", F.explode("entities").alias("name"))
+    listed = staging(spark, folder, "entities", once=False).select("graph_id", F.explode("entities").alias("name"))
     return listed.select("graph_id", strip(F.col("name")).alias("name")).filter("name <> ''").distinct()
 
 
-def relations(spark: SparkSession, folder: str) -> DataFrame:
+def relations(spark: SparkSession, folder: str, once: bool = True) -> DataFrame:
     """Valid relations: graph_id, vocabulary, pos, source, relation, target."""
-    raw = extract.array_triples(staging(spark, folder, "vocabulary", "relations"), "relations", "graph_id", "vocabulary")
+    raw = extract.array_triples(staging(spark, folder, "vocabulary", "relations", once=once), "relations", "graph_id", "vocabulary")
     return extract.valid_relations(raw, kinds(spark, folder), ON)
 
 
 def names(spark: SparkSession, folder: str) -> DataFrame:
-    return extract.universe(concepts(spark, folder), relations(spark, folder), G)
+    return extract.universe(concepts(spark, folder), relations(spark, folder, once=False), G)
 
 
 def merged(spark: SparkSession, folder: str) -> DataFrame:
@@ -72,7 +71,7 @@ def nodes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def typed(spark: SparkSession, folder: str) -> DataFrame:
-    raw = extract.array_triples(staging(spark, folder, "vocabulary", "relations"), "relations", "graph_id", "vocabulary")
+    raw = extract.array_triples(staging(spark, folder, "vocabulary", "relations", once=False), "relations", "graph_id", "vocabulary")
     return curate.typed_relations(raw, names(spark, folder), kinds(spark, folder), ON, G)
 
 
@@ -107,7 +106,7 @@ def json_triples(spark: SparkSession, folder: str) -> DataFrame:
 
 def json_concepts(spark: SparkSession, folder: str) -> DataFrame:
     text = F.to_json(F.struct(F.col("entities").alias("concepts")))
-    said = staging(spark, folder, "entities").select("graph_id", F.try_parse_json(text).alias("v"))
+    said = staging(spark, folder, "entities", once=False).select("graph_id", F.try_parse_json(text).alias("v"))
     parts = said.select("graph_id", F.try_variant_get("v", "$.concepts", "variant").alias("raw"))
     return extract.concepts(parts, "raw", "graph_id").distinct()
 
@@ -143,7 +142,7 @@ def alias_map(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cleaned_triples(spark: SparkSession, folder: str) -> DataFrame:
-    return clean.apply_node_map(relations(spark, folder), nodes(spark, folder), G)
+    return clean.apply_node_map(relations(spark, folder, once=False), nodes(spark, folder), G)
 
 
 def domains(spark: SparkSession, folder: str) -> DataFrame:
@@ -172,15 +171,15 @@ def removed_relations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def components(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.components(relations(spark, folder), names(spark, folder), G)
+    return graph.components(relations(spark, folder, once=False), names(spark, folder), G)
 
 
 def communities(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.communities(relations(spark, folder), names(spark, folder), G)
+    return graph.communities(relations(spark, folder, once=False), names(spark, folder), G)
 
 
 def cluster_hubs(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.hubs(components(spark, folder), relations(spark, folder), G, "component")
+    return graph.hubs(components(spark, folder), relations(spark, folder, once=False), G, "component")
 
 
 def curated_edges(spark: SparkSession, folder: str) -> DataFrame:
@@ -209,7 +208,7 @@ def _view(parts, which: str):  # noqa: ANN001, ANN202
 
 def flat_graph(spark: SparkSession, folder: str) -> DataFrame:
     """The interchange form of the staging graphs after validation."""
-    out = extract.flat_graph(names(spark, folder), relations(spark, folder), G)
+    out = extract.flat_graph(names(spark, folder), relations(spark, folder, once=False), G)
     lines = F.transform("relations", lambda r: F.array_join(r, "\t"))
     return out.select("graph_id", F.array_join("entities", "\n").alias("entities"), F.array_join("edges", ",").alias("edges"), F.array_join(lines, "\n").alias("relations"))
 
@@ -220,9 +219,9 @@ def stage_counts(spark: SparkSession, folder: str) -> DataFrame:
     own = nodes(spark, folder)
     steps = [
         count(names(spark, folder), "nodes"),
-        count(extract.distinct_triples(relations(spark, folder), G), "triples"),
+        count(extract.distinct_triples(relations(spark, folder, once=False), G), "triples"),
         own.groupBy("graph_id").agg(F.count_distinct("canonical").alias("cleaned_nodes")),
-        count(clean.apply_node_map(relations(spark, folder), own, G), "cleaned_triples"),
+        count(clean.apply_node_map(relations(spark, folder, once=False), own, G), "cleaned_triples"),
     ]
     out = steps[0]
     for step in steps[1:]:
@@ -238,8 +237,8 @@ def queries() -> dict:
         "json_triples": json_triples,
         "valid_relations": lambda s, d: relations(s, d).select("graph_id", "pos", "source", "relation", "target"),
         "valid_relations_inventory": relations_in_inventory,
-        "distinct_triples": lambda s, d: extract.distinct_triples(relations(s, d), G),
-        "edge_types": lambda s, d: relations(s, d).select("graph_id", "relation").distinct(),
+        "distinct_triples": lambda s, d: extract.distinct_triples(relations(s, d, once=False), G),
+        "edge_types": lambda s, d: relations(s, d, once=False).select("graph_id", "relation").distinct(),
         "endpoint_closure": names,
         "global_link_union": global_link_union,
         "flat_graph": flat_graph,
