@@ -48,10 +48,6 @@ FRAGMENT
     return before, "\n\nJSON:"
 
 
-def extraction_prompt(text: str, schema: RelationSchema) -> str:
-    return text.join(extraction_parts(schema))
-
-
 def linking_prompt(inventory: str, schema: RelationSchema) -> str:
     return f"""Below are all concepts of a subject. They were found piece by piece, so relations between far pieces are missing. Name those that hold the subject together: what needs what, what is a kind or a part of what.
 

@@ -31,9 +31,14 @@ def kinds(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "relation_types").withColumnRenamed("rel_key", "relation")
 
 
+def listed(spark: SparkSession, folder: str) -> DataFrame:
+    """Names among the entities, as often as they are there."""
+    raw = staging(spark, folder, "entities", once=False).select("graph_id", F.explode("entities").alias("name"))
+    return raw.select("graph_id", strip(F.col("name")).alias("name")).filter("name <> ''")
+
+
 def concepts(spark: SparkSession, folder: str) -> DataFrame:
-    listed = staging(spark, folder, "entities", once=False).select("graph_id", F.explode("entities").alias("name"))
-    return listed.select("graph_id", strip(F.col("name")).alias("name")).filter("name <> ''").distinct()
+    return listed(spark, folder).distinct()
 
 
 def relations(spark: SparkSession, folder: str, once: bool = True) -> DataFrame:
@@ -43,7 +48,7 @@ def relations(spark: SparkSession, folder: str, once: bool = True) -> DataFrame:
 
 
 def names(spark: SparkSession, folder: str) -> DataFrame:
-    return extract.universe(concepts(spark, folder), relations(spark, folder, once=False), G)
+    return extract.universe(listed(spark, folder), relations(spark, folder, once=False), G)
 
 
 def merged(spark: SparkSession, folder: str) -> DataFrame:
