@@ -314,8 +314,9 @@ def identify(df: DataFrame, key: str, column: str, label: str, samples: DataFram
     """
     rows = samples.filter("lang is not null and text is not null").select("lang", "text").orderBy("lang", "text").limit(MOST_SAMPLES).collect()
     codes = sorted({r.lang for r in rows})
-    spread = W.partitionBy("label").orderBy(F.xxhash64(key), key)
-    sound = df.filter(F.char_length(column) <= MOST_CHARS).select(key, F.col(label).alias("label"), F.col(column).alias("text")).filter(F.col("label").isin(codes))
+    docs = df.select(F.col(key).alias("key"), F.col(column).alias("text"), F.col(label).alias("label"))
+    spread = W.partitionBy("label").orderBy(F.xxhash64("key"), "key")
+    sound = docs.filter(F.char_length("text") <= MOST_CHARS).filter(F.col("label").isin(codes))
     picked = sound.withColumn("n", F.row_number().over(spread)).filter(F.col("n") <= MOST_LABELLED).orderBy("label", "n").collect()
     model = train([(r.lang, r.text) for r in rows], [(r.label, r.text) for r in picked])
     key_type = df.schema[key].dataType
@@ -328,11 +329,11 @@ def identify(df: DataFrame, key: str, column: str, label: str, samples: DataFram
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*fixed)
-        for batch in pieces(batches, column, 2_000_000):
-            s, lang, confidence = judged(batch.column(column), own)
+        for batch in pieces(batches, "text", 2_000_000):
+            s, lang, confidence = judged(batch.column("text"), own)
             m = batch.num_rows
             if emit == "passages":
-                yield _passages(s, lang, confidence, batch.column(key), values, names)
+                yield _passages(s, lang, confidence, batch.column("key"), values, names)
                 continue
             known = lang >= 0
             at = s.row[known] * n + lang[known]
@@ -348,7 +349,7 @@ def identify(df: DataFrame, key: str, column: str, label: str, samples: DataFram
             case = (several > 0) & ~((several == 1) & (named >= 0) & is_lang[np.arange(m), np.maximum(named, 0)])
             if emit == "cases":
                 row, which = np.nonzero(is_lang & case[:, None])
-                yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(row)), values.take(pa.array(which))], names)
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(row)), values.take(pa.array(which))], names)
                 continue
             is_lang = np.column_stack((is_lang, several == 0))  # a row too for those without language
             row, which = np.nonzero(is_lang)
@@ -357,11 +358,11 @@ def identify(df: DataFrame, key: str, column: str, label: str, samples: DataFram
             mean = np.divide(pad(total), k, out=np.zeros(len(k)), where=k > 0)
             share = np.divide(k, count.sum(axis=1)[row], out=np.zeros(len(k)), where=k > 0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(key).take(pa.array(row)), values.take(pa.array(which)), batch.column("label").take(pa.array(row)), pa.array(mean), pa.array(k.astype(np.int32)), pa.array(share), pa.array(case[row])],
+                [batch.column("key").take(pa.array(row)), values.take(pa.array(which)), batch.column("label").take(pa.array(row)), pa.array(mean), pa.array(k.astype(np.int32)), pa.array(share), pa.array(case[row])],
                 names,
             )
 
-    return df.select(F.col(key), F.col(column), F.col(label).alias("label")).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def _passages(s: Sentences, lang: np.ndarray, confidence: np.ndarray, keys: pa.Array, codes: pa.Array, names: list[str]) -> pa.RecordBatch:
