@@ -85,9 +85,9 @@ def typed(spark: SparkSession, folder: str) -> DataFrame:
 
 def chunk_text(spark: SparkSession, folder: str) -> DataFrame:
     sizes = table(spark, folder, "builder_config").select("config_id", "chunk_size").orderBy("config_id").collect()  # a table of fixed size
-    each = F.explode(F.array(*[F.struct(F.lit(c).alias("config_id"), F.lit(s).alias("chunk_size")) for c, s in sizes])).alias("c")
-    docs = table(spark, folder, "documents").select("doc_id", universal_newlines(F.col("text")).alias("text"), each).select("doc_id", "text", "c.*")
-    return chunking.chunk_text(docs, "text", F.col("chunk_size")).select("config_id", "doc_id", "chunk_no", "chunk")
+    each = F.array(*[F.struct(F.lit(c).alias("config_id"), F.lit(s).alias("chunk_size")) for c, s in sizes])
+    docs = table(spark, folder, "documents").select("doc_id", universal_newlines(F.col("text")).alias("text"))
+    return chunking.chunk_text(docs, "text", F.col("chunk_size"), each).select("config_id", "doc_id", "chunk_no", "chunk")
 
 
 def name_keys(spark: SparkSession, folder: str) -> DataFrame:
