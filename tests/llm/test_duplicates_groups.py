@@ -82,6 +82,19 @@ def test_groups(spark, bound, scope):
     assert len(got) == len(truth) and {tuple(r)[:-1]: r.group for r in got} == truth
 
 
+def test_more_names_than_links_held(spark):
+    # Chains z -> y -> x whose links come in different partitions: 56 links are within the bound, their 84 names aren't.
+    halves = [[(1, f"{end}{i:02d}", f"{start}{i:02d}") for i in range(28)] for end, start in ("zy", "yx")]
+    df = [spark.createDataFrame(rows, "g long, a string, b string").coalesce(1) for rows in halves]
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(batch, "5")
+    try:
+        got = consolidate(df[0].unionByName(df[1]), ["g"], "a", "b", bound=60, piece=5).collect()
+    finally:
+        spark.conf.unset(batch)
+    assert sorted((r.name, r.group) for r in got) == sorted((f"{c}{i:02d}", f"x{i:02d}") for c in "xyz" for i in range(28))
+
+
 def test_no_pairs(spark):
     df = spark.createDataFrame([], "g long, a string, b string")
     assert consolidate(df, ["g"], "a", "b").collect() == []

@@ -67,15 +67,15 @@ def forest(part: pa.Table, keys: list[str]) -> pa.Table:
     return pa.table({**{k: part[k].combine_chunks().take(at) for k in keys}, "a": words.take(pa.array(node)), "b": words.take(pa.array(node[root]))})
 
 
-def consolidate(pairs: DataFrame, scope: list[str], a: str, b: str, bound: int = BOUND) -> DataFrame:
-    """Rows of scope, name, group: one per name."""
+def consolidate(pairs: DataFrame, scope: list[str], a: str, b: str, bound: int = BOUND, piece: int = 200_000) -> DataFrame:
+    """Rows of scope, name, group: one per name. ``piece``: rows that a task takes in at a time."""
     keys = [f"s{i}" for i in range(len(scope))]
     links = pairs.select(*[F.col(c).alias(k) for c, k in zip(scope, keys)], F.col(a).alias("a"), F.col(b).alias("b")).filter("a is not null and b is not null")
     schema = T.StructType([*links.schema.fields[: len(keys)], T.StructField("a", T.StringType()), T.StructField("b", T.StringType())])
 
     def local(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        for part in slices(batches, min(bound, 200_000)):
+        for part in slices(batches, min(bound, piece)):
             part = part if held is None else pa.concat_tables([held, part]).combine_chunks()
             held = forest(part, keys)
             if held.num_rows >= bound:  # as much as a task may hold: let it go, begin anew
@@ -85,7 +85,11 @@ def consolidate(pairs: DataFrame, scope: list[str], a: str, b: str, bound: int =
             yield from held.to_batches(max_chunksize=50_000)
 
     def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, min(bound, 200_000), keys or None):
+        for part in slices(batches, min(bound, piece), keys):
+            yield from forest(part, keys).to_batches(max_chunksize=50_000)
+
+    def last(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, min(bound, piece), []):  # at most bound links, but up to twice as many names: never let go
             yield from forest(part, keys).to_batches(max_chunksize=50_000)
 
     first = checkpointed(links.mapInArrow(local, schema))
@@ -98,16 +102,16 @@ def consolidate(pairs: DataFrame, scope: list[str], a: str, b: str, bound: int =
             for k in keys:
                 one = one & F.col(k).eqNullSafe(F.lit(row[k]))
             test = test | one
-        result = _merged(first.filter(test), keys, bound, local, schema)
+        result = _merged(first.filter(test), keys, bound, local, last, schema)
         first = first.filter(~test)
     near = first.repartition(*keys).sortWithinPartitions(*keys) if keys else first.coalesce(1)
     if keys or not large:
-        done = near.mapInArrow(whole if keys else local, schema)
+        done = near.mapInArrow(whole, schema)
         result = done if result is None else done.unionByName(result)
     return result.select(*[F.col(k).alias(c) for k, c in zip(keys, scope)], F.col("a").alias("name"), F.col("b").alias("group"))
 
 
-def _merged(links: DataFrame, keys: list[str], bound: int, local, schema: T.StructType) -> DataFrame:  # noqa: ANN001
+def _merged(links: DataFrame, keys: list[str], bound: int, local, last, schema: T.StructType) -> DataFrame:  # noqa: ANN001
     """Groups of scopes too large for a task."""
     on = [*keys, "a"]
     names = links.select(*keys, "a").unionByName(links.select(*keys, F.col("b").alias("a"))).distinct()
@@ -134,9 +138,9 @@ def _merged(links: DataFrame, keys: list[str], bound: int, local, schema: T.Stru
         moved = moved.join(other, [*keys, "b"]).select(*keys, "a", F.col("c").alias("b")).filter("a <> b").distinct()
         links = checkpointed(moved)
         size = links.count()
-    last = links.coalesce(1).mapInArrow(local, schema).select(*on, F.col("b").alias("to"))
+    end = links.coalesce(1).mapInArrow(last, schema).select(*on, F.col("b").alias("to"))
     label = names.select(*on, F.col("a").alias("at"))
-    for step in [*steps, last]:
+    for step in [*steps, end]:
         here = step.select(*keys, F.col("a").alias("at"), "to")
         label = label.join(here, [*keys, "at"], "left").select(*on, F.coalesce("to", "at").alias("at"))
     label = checkpointed(label)

@@ -60,7 +60,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int, scope: list[str] | None = None) -> Iterator[pa.Table]:
-    """Tables of about ``rows`` rows from a partition; with ``scope``, which must be sorted by it, no scope is torn apart."""
+    """Tables of about ``rows`` rows from a partition; with ``scope``, which must be sorted by it, no scope is torn apart (one of no columns is the whole partition)."""
     held: list[pa.RecordBatch] = []
     n = 0
     for batch in batches:
@@ -71,7 +71,7 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int, scope: list[str] | None
         if n < rows:
             continue
         whole = pa.Table.from_batches(held)
-        cut = whole.num_rows if not scope else _last_change(whole, scope)
+        cut = whole.num_rows if scope is None else _last_change(whole, scope)
         if cut:
             yield whole.slice(0, cut).combine_chunks()
         held = whole.slice(cut).combine_chunks().to_batches()
