@@ -80,6 +80,13 @@ def test_against_brute_force(spark, rows, bound):
     assert all(list(r.cycle_steps) == [i for i, x in enumerate(r.path) if x in cycles[r.g]] and r.root == r.path[0] for r in got["paths"])
 
 
+def test_paths_have_the_same_numbers_in_both_ways(spark, rows):
+    crossed = [(1000, c, p, None) for c, p in (("x", "a"), ("a", "z"), ("x", "b"), ("b", "c"))]
+    df = spark.createDataFrame([*crossed, *(r for r in rows if r[0] is not None and r[0] < 6)], SCHEMA)
+    small, large = ({(r.g, r.node, tuple(r.path)): r.path_no for r in hierarchy(df, ["g"], "child", "parent", "paths", bound).collect()} for bound in (10**6, 0))
+    assert small == large and (small[1000, "x", ("z", "a", "x")], small[1000, "x", ("c", "b", "x")]) == (0, 1)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     for emit in COLUMNS:

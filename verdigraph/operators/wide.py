@@ -149,7 +149,8 @@ def _paths(dag: DataFrame, levels: DataFrame, keys: list[str]) -> DataFrame:
         parts.append(last)
     from pyspark.sql import Window as W
 
-    number = (F.row_number().over(W.partitionBy(*keys, "step").orderBy("path")) - 1).alias("path_no")
+    # As in one task: by the last parent, then by the one before it.
+    number = (F.row_number().over(W.partitionBy(*keys, "step").orderBy(F.reverse("path"))) - 1).alias("path_no")
     return reduce(DataFrame.unionByName, parts).select(*keys, "step", number, "path")
 
 
