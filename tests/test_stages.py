@@ -19,6 +19,7 @@ from verdigraph.inference.engines import InferenceError, ReplayEngine, RuleEngin
 from verdigraph.inference.repair import parse_object, parse_with_repair
 from verdigraph.operators import chunking, clean, curate, extract, graph
 from verdigraph.operators.graph import _back
+from verdigraph.plans import catalog
 from verdigraph.plans.pipeline import GraphPipeline
 from verdigraph.schema import DEFAULT, ENGLISH, SPANISH, RelationSchema, RelationType, find_schema
 from verdigraph.sources.files import list_source_files, read_documents
@@ -263,6 +264,18 @@ def test_flat_view(spark):
         GraphPipeline(spark, engine=RuleEngine(answer)).view_model({"x": 1})
 
 
+def test_flat_view_by_communities(spark, tmp_path):
+    edges = [[f"{c}{i}", "related_to", f"{c}{j}"] for c in "ab" for i in range(5) for j in range(i)] + [["a0", "related_to", "b0"]]
+    graphs = spark.createDataFrame([(1, "en", ["lone"], ["related_to"], edges)], "graph_id long, vocabulary string, entities array<string>, edges array<string>, relations array<array<string>>")
+    graphs.write.parquet(str(tmp_path / "knowledge_graph_partial.parquet"))
+    kinds = "vocabulary string, rel_key string, verbose string, ord int, directed boolean, acyclic boolean, use_in_embedding boolean"
+    spark.createDataFrame([("en", "related_to", "related to", 0, False, False, True)], kinds).write.parquet(str(tmp_path / "relation_types.parquet"))
+    rows = {q: catalog.queries()[q](spark, str(tmp_path)).collect() for q in ("flat_view_community_groups", "flat_view_community_nodes", "community_hubs")}
+    assert sorted((r.idx, r.group, r["count"]) for r in rows["flat_view_community_groups"]) == [(0, "Cluster · a0", 5), (1, "Cluster · b0", 5), (2, "Cluster · lone", 1)]
+    assert sorted((r.name, r.group_idx) for r in rows["flat_view_community_nodes"]) == [*((f"a{i}", 0) for i in range(5)), *((f"b{i}", 1) for i in range(5)), ("lone", 2)]
+    assert {r.community: r.label for r in rows["community_hubs"]} == {"a0": "Cluster · a0", "b0": "Cluster · b0", "lone": "Cluster · lone"}
+
+
 def test_cli(spark, tmp_path, capsys):
     assert cli.main(["relations", "--relations", "en"]) == 0 and "part_of" in capsys.readouterr().out
     assert cli.main(["relations", "--relations", str(tmp_path / "none.json")]) == 2

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from verdigraph.functions.text import name_key, slug, strip, universal_newlines
 from verdigraph.operators import chunking, clean, curate, extract, graph, view
-from verdigraph.runtime import table
+from verdigraph.runtime import checkpointed, table
 
 G = ["graph_id"]
 ON = ["vocabulary", "relation"]
@@ -187,6 +187,10 @@ def cluster_hubs(spark: SparkSession, folder: str) -> DataFrame:
     return graph.hubs(components(spark, folder), relations(spark, folder, once=False), G, "component")
 
 
+def community_hubs(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.hubs(communities(spark, folder), relations(spark, folder, once=False), G, "community")
+
+
 def curated_edges(spark: SparkSession, folder: str) -> DataFrame:
     return _curated_parts(spark, folder)["edges"].select("graph_id", "rel", "source", "target")
 
@@ -196,17 +200,22 @@ def _curated_parts(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return view.curated_parts(graphs, G, table(spark, folder, "relation_types").withColumnRenamed("rel_key", "key"))
 
 
-def _flat_parts(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+def _flat_parts(spark: SparkSession, folder: str, grouped=graph.components, group: str = "component") -> dict[str, DataFrame]:  # noqa: ANN001
     raw = staging(spark, folder, "vocabulary", "entities", "edges", "relations")
     types = table(spark, folder, "relation_types").withColumnRenamed("rel_key", "key")
     triples = extract.array_triples(raw, "relations", "graph_id")
     every = extract.universe(raw.select("graph_id", F.explode("entities").alias("name")).filter("name is not null"), triples, G)
-    groups = graph.components(triples, every, G)
-    labels = graph.hubs(groups, triples, G, "component")
-    group_of = groups.join(labels, ["graph_id", "component"]).select("graph_id", "name", F.col("label").alias("group"))
+    groups = grouped(triples, every, G)
+    labels = graph.hubs(groups, triples, G, group)
+    group_of = groups.join(labels, ["graph_id", group]).select("graph_id", "name", F.col("label").alias("group"))
     return view.flat_parts(raw, G, ["vocabulary"], types, group_of)
 
 
+def _community_parts(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """Flat graphs grouped as the pipeline's viewer groups them."""
+    return _flat_parts(spark, folder, lambda *x: checkpointed(graph.communities(*x)), "community")  # used often, so worked out once
+
+
 def _view(parts, which: str):  # noqa: ANN001, ANN202
     return lambda spark, folder: view.view_model(parts(spark, folder), G)[which]
 
@@ -263,6 +272,7 @@ def queries() -> dict:
         "components": components,
         "communities": communities,
         "cluster_hubs": cluster_hubs,
+        "community_hubs": community_hubs,
         "curated_edges": curated_edges,
         "view_groups": _view(_curated_parts, "groups"),
         "view_nodes": _view(_curated_parts, "nodes"),
@@ -273,6 +283,8 @@ def queries() -> dict:
         "flat_view_nodes": _view(_flat_parts, "nodes"),
         "flat_view_links": _view(_flat_parts, "links"),
         "flat_view_relations": _view(_flat_parts, "relations"),
+        "flat_view_community_groups": _view(_community_parts, "groups"),
+        "flat_view_community_nodes": _view(_community_parts, "nodes"),
         "stage_counts": stage_counts,
     }
 
