@@ -4,6 +4,7 @@ import json
 import random
 import sys
 import zipfile
+from unittest import mock
 
 import numpy as np
 import pytest
@@ -17,7 +18,7 @@ from verdigraph.config import Config, full_host
 from verdigraph.functions.text import name_key, slug, strip
 from verdigraph.inference.engines import InferenceError, ReplayEngine, RuleEngine, create_engine, prompt_key
 from verdigraph.inference.repair import parse_object, parse_with_repair
-from verdigraph.operators import chunking, clean, curate, extract, graph
+from verdigraph.operators import chunking, clean, curate, extract, graph, wide
 from verdigraph.operators.graph import _back
 from verdigraph.plans import catalog
 from verdigraph.plans.pipeline import GraphPipeline
@@ -140,6 +141,20 @@ def test_components_and_communities(spark):
     assert {n: c[0] for n, c in got.items()} == {n: n[0] for n in got} and len(set(got.values())) == 2
 
 
+def test_one_graph_without_scope(spark):
+    n, none = 230_000, spark.createDataFrame([], "name string")
+    name = lambda c: F.format_string("%06d", c)
+    ring = spark.range(n).select(name(F.col("id")).alias("source"), name((F.col("id") + 1) % n).alias("target"))
+    assert [tuple(r) for r in graph.back_edges(ring, S).collect()] == [("229999", "000000")]
+    assert {(r.component, r["count"]) for r in graph.components(ring, none, S).groupBy("component").count().collect()} == {("000000", n)}
+    star = ring.filter("source <> '000000'").select(F.lit("000000").alias("source"), F.col("source").alias("target"))
+    assert {(r.community, r["count"]) for r in graph.communities(star, none, S).groupBy("community").count().collect()} == {("000000", n)}
+    few = spark.createDataFrame([("a", "b"), ("b", "c"), ("d", "e")], "source string, target string")
+    with mock.patch.object(wide, "_least", wraps=wide._least) as joined:
+        assert sorted(map(tuple, graph.components(few, none, S, bound=2).collect())) == [("a", "a"), ("b", "a"), ("c", "a"), ("d", "d"), ("e", "d")]
+    assert joined.called
+
+
 def test_vocabularies(tmp_path):
     assert RelationSchema.from_dict(ENGLISH.to_dict()) == ENGLISH and DEFAULT is SPANISH
     assert ENGLISH.get("nothing") is None and "is_a" in ENGLISH and ENGLISH.specific_keys() == ("prerequisite", "is_a", "part_of")

@@ -44,7 +44,7 @@ def _grouped(links: DataFrame, scope: list[str], fields: str, work) -> DataFrame
     names = [f.name for f in schema]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 200_000, scope or None):
+        for part in slices(batches, 200_000, scope):
             name, row, words, of, ends = coded(part, scope, "source", "target")
             at, columns = work(len(name), of, *ends)
             made = {k: part[k].combine_chunks().take(pa.array(row[at])) for k in scope}
@@ -107,12 +107,12 @@ def break_cycles(typed: DataFrame, kinds: DataFrame, on: list[str], scope: list[
 def components(links: DataFrame, names: DataFrame, scope: list[str], bound: int = BOUND) -> DataFrame:
     """(scope, name, component): component is its smallest name; names without links are their own."""
     links = links.select(*scope, "source", "target").unionByName(names.select(*scope, F.col("name").alias("source"), F.col("name").alias("target")))
-    large = links.groupBy(*scope).count().filter(F.col("count") > bound).select(*scope).collect() if scope else []
+    large = links.groupBy(*scope).count().filter(F.col("count") > bound).select(*scope).collect() if scope else [()] * (links.count() > bound)
     found = None
     if large:
         from verdigraph.operators.wide import _least
 
-        test = F.lit(False)
+        test = F.lit(not scope)
         for row in large:
             one = F.lit(True)
             for k in scope:
