@@ -279,6 +279,13 @@ def test_flat_view(spark):
         GraphPipeline(spark, engine=RuleEngine(answer)).view_model({"x": 1})
 
 
+def test_curated_view_by_key(spark):
+    group = lambda key, verbose, links: {"key": key, "details": {"verbose": verbose}, "relations_data": links}
+    graph_json = {"concepts_by_domains": {"D": ["A", "B"]}, "relations": [group("related_to", "goes with", {"A": ["B"], "B": ["A"]}), group("", "is a kind of", {"A": ["B"]}), {"details": {"verbose": "of old"}, "relations_data": {"A": ["B"]}}]}
+    model = GraphPipeline(spark, schema=ENGLISH, engine=RuleEngine(answer)).view_model(graph_json)
+    assert [(r["key"], r["directed"], r["count"]) for r in model["relations"]] == [("related_to", False, 1), ("is_a", True, 1), ("of_old", True, 1)]
+
+
 def test_flat_view_by_communities(spark, tmp_path):
     edges = [[f"{c}{i}", "related_to", f"{c}{j}"] for c in "ab" for i in range(5) for j in range(i)] + [["a0", "related_to", "b0"]]
     graphs = spark.createDataFrame([(1, "en", ["lone"], ["related_to"], edges)], "graph_id long, vocabulary string, entities array<string>, edges array<string>, relations array<array<string>>")

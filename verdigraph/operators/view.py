@@ -12,14 +12,18 @@ NO_GROUP = "—"
 
 
 def curated_parts(graphs: DataFrame, scope: list[str], types: DataFrame) -> dict[str, DataFrame]:
-    """Groups, edges (with pos), relations and flags of curated graphs. ``types`` has key, ord, verbose and flags."""
+    """Groups, edges (with pos), relations and flags of curated graphs. ``types`` has key, ord, verbose and flags.
+
+    A relation's key is its own (a field that may be missing), else that of its verbose name, else a slug of that name.
+    """
     domains = graphs.select(*scope, F.posexplode(F.map_entries("concepts_by_domains")).alias("d", "e"))
     listed = domains.select(*scope, "d", F.col("e.key").alias("group"), F.explode("e.value").alias("name")).filter("name is not null")
     group_of = listed.groupBy(*scope, "name").agg(F.min(F.struct("d", "group")).alias("m")).select(*scope, "name", F.col("m.group").alias("group"))
     groups = graphs.select(*scope, F.posexplode("relations").alias("rel", "g")).filter("g is not null")
     by_name = types.groupBy("verbose").agg(F.max_by("key", "ord").alias("known"))
-    details = groups.select(*scope, "rel", F.col("g.details").alias("details"), F.coalesce("g.details.verbose", F.lit("")).alias("verbose"))
-    keyed = details.join(by_name, "verbose", "left").select(*scope, "rel", "details", F.coalesce("known", slug(F.col("verbose"))).alias("key"))
+    own = F.col("g.key") if "key" in graphs.schema["relations"].dataType.elementType.names else F.lit(None).cast("string")
+    details = groups.select(*scope, "rel", own.alias("own"), F.col("g.details").alias("details"), F.coalesce("g.details.verbose", F.lit("")).alias("verbose"))
+    keyed = details.join(by_name, "verbose", "left").select(*scope, "rel", "details", F.coalesce(F.nullif("own", F.lit("")), "known", slug(F.col("verbose"))).alias("key"))
     flags = types.select("key", *[F.col(c).alias(f"t_{c}") for c in ("verbose", "directed", "acyclic", "use_in_embedding")])
     first = {"verbose": F.translate("key", "_", " "), "directed": F.lit(True), "acyclic": F.lit(False), "use_in_embedding": F.lit(True)}
     meta = keyed.join(flags, "key", "left")
