@@ -18,7 +18,7 @@ from verdigraph.config import Config, full_host
 from verdigraph.functions.text import name_key, slug, strip
 from verdigraph.inference.engines import InferenceError, ReplayEngine, RuleEngine, create_engine, prompt_key
 from verdigraph.inference.repair import parse_object, parse_with_repair
-from verdigraph.operators import chunking, clean, curate, extract, graph, wide
+from verdigraph.operators import chunking, clean, curate, extract, graph
 from verdigraph.operators.graph import _back
 from verdigraph.plans import catalog
 from verdigraph.plans.pipeline import GraphPipeline
@@ -150,7 +150,7 @@ def test_one_graph_without_scope(spark):
     star = ring.filter("source <> '000000'").select(F.lit("000000").alias("source"), F.col("source").alias("target"))
     assert {(r.community, r["count"]) for r in graph.communities(star, none, S).groupBy("community").count().collect()} == {("000000", n)}
     few = spark.createDataFrame([("a", "b"), ("b", "c"), ("d", "e")], "source string, target string")
-    with mock.patch.object(wide, "_least", wraps=wide._least) as joined:
+    with mock.patch.object(graph, "contracted", wraps=graph.contracted) as joined:
         assert sorted(map(tuple, graph.components(few, none, S, bound=2).collect())) == [("a", "a"), ("b", "a"), ("c", "a"), ("d", "d"), ("e", "d")]
     assert joined.called
 

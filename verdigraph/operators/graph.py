@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verdigraph.operators.hierarchy import Links, distinct
-from verdigraph.runtime import checkpointed, slices
+from verdigraph.operators.wide import contracted, relabelled
+from verdigraph.runtime import by_size, checkpointed, slices, with_scope
 
 #: Links of a scope that components are found for in one task.
 BOUND = 2_000_000
@@ -107,24 +108,19 @@ def break_cycles(typed: DataFrame, kinds: DataFrame, on: list[str], scope: list[
 def components(links: DataFrame, names: DataFrame, scope: list[str], bound: int = BOUND) -> DataFrame:
     """(scope, name, component): component is its smallest name; names without links are their own."""
     links = links.select(*scope, "source", "target").unionByName(names.select(*scope, F.col("name").alias("source"), F.col("name").alias("target")))
-    large = links.groupBy(*scope).count().filter(F.col("count") > bound).select(*scope).collect() if scope else [()] * (links.count() > bound)
-    found = None
-    if large:
-        from verdigraph.operators.wide import _least
-
-        test = F.lit(not scope)
-        for row in large:
-            one = F.lit(True)
-            for k in scope:
-                one = one & F.col(k).eqNullSafe(F.lit(row[k]))
-            test = test | one
-        part = checkpointed(links.filter(test))
-        ways = part.unionByName(part.select(*scope, F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
-        start = ways.select(*scope, F.col("source").alias("node")).distinct().withColumn("c", F.col("node"))
-        found = _least(checkpointed(ways), start, scope, "source", "target").select(*scope, F.col("node").alias("name"), F.col("c").alias("component"))
-        links = links.filter(~test)
+    links, wide, large = by_size(links, scope, bound)
     near = _grouped(links, scope, "name string, component string", lambda n, of, u, v: (np.arange(n), (np.arange(n), _roots(n, u, v))))
-    return near if found is None else near.unionByName(found)
+    if wide is None:
+        return near
+    pairs = checkpointed(wide.select("large", F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct())
+    ends = pairs.select("large", "a").unionByName(pairs.select("large", F.col("b").alias("a"))).distinct()
+    left, steps = pairs.filter("a <> b"), []
+    while left.count() > bound:
+        left, step = contracted(left, ["large"], len(steps))
+        steps.append(step)
+    last = _grouped(left.select("large", F.col("a").alias("source"), F.col("b").alias("target")), ["large"], "a string, to string", lambda n, of, u, v: (np.arange(n), (np.arange(n), _roots(n, u, v))))
+    found = relabelled(ends, [*steps, last], ["large"]).select("large", F.col("a").alias("name"), F.col("b").alias("component"))
+    return near.unionByName(with_scope(found, large, scope).select(*near.columns))
 
 
 def _roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:

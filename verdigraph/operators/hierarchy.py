@@ -8,11 +8,14 @@ own. Per scope:
    member in code point order. From here on a cycle is one step of the hierarchy: it is named, never followed.
 2. *Heavy paths.* Each step's deepest parent (ties: smallest name) makes a spanning forest; subtree sizes pick each
    step's heavy child; heavy edges form chains, each node labelled with its chain and its place there.
-3. *Paths* are lists of chain segments, concatenated; *descendants* are chain intervals: what is reached on a chain is
-   always the rest of it from one place on, so the intervals of the children are merged bottom up.
+3. *Paths* are chain segments, concatenated: up to the next step with several parents, or the chain's first, a way has
+   no choice. Ways are counted top down, so the k-th of a step is made from its number alone and none is kept.
+   *Descendants* are chain intervals: what is reached on a chain is always the rest of it from one place on, so the
+   intervals of the children are merged bottom up.
 
 Everything is done on arrays for a whole slice of scopes at once. Links are shuffled once, by scope. A scope with more
-than ``bound`` links isn't given to one task: its hierarchy is found by joins, level by level (see ``wide.py``).
+than ``bound`` links isn't given to one task: chains, intervals and segments are then found by joins (see ``wide.py``),
+with the same rows. The ways of a step are numbered by their names, compared from the step upwards.
 
 Defined cases: links with a null end are no links (their other end is no node by them); repeated links count once; a
 null scope value is a scope like any other; blank and very long names are names; an empty table gives an empty result.
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdigraph.runtime import slices
+from verdigraph.runtime import by_size, slices, with_scope
 
 #: Links of a scope that one task may hold.
 BOUND = 2_000_000
@@ -39,61 +43,46 @@ BOUND = 2_000_000
 SLICE = 400_000
 #: Rows of an output batch.
 ROWS = 50_000
+#: Steps of all paths of an output batch, about.
+PASSED = 2_000_000
 
 COLUMNS = {
     "cycles": "node string, cycle string",
     "nodes": "node string, cycle string, depth int, roots array<string>, path array<string>, chain string, chain_pos int, n_descendants long",
-    "paths": "node string, path_no int, root string, path array<string>, cycle_steps array<int>",
+    "paths": "node string, path_no long, root string, path array<string>, cycle_steps array<int>",
     "descendants": "node string, descendant string",
 }
 
 
-def hierarchy(edges: DataFrame, scope: list[str], child: str, parent: str, emit: str = "nodes", bound: int = BOUND) -> DataFrame:
+def hierarchy(edges: DataFrame, scope: list[str], child: str, parent: str, emit: str = "nodes", bound: int = BOUND, only_cycles: bool = False) -> DataFrame:
     """Rows of ``scope`` and the columns of ``COLUMNS[emit]``.
 
-    cycles: one row per node on a cycle. nodes: one row per node, with the path along its deepest parents. paths: one row
-    per node and way down from a root; ``cycle_steps`` has the places of the path, from 0, that are cycles. descendants:
-    one row per node and node below it; members of a node's own cycle aren't below it.
+    cycles: one row per node on a cycle. nodes: one row per node, with the path along its deepest parents (with
+    ``only_cycles``, per node on a cycle). paths: one row per node and way down from a root; ``cycle_steps`` has the places
+    of the path, from 0, that are cycles. descendants: one row per node and node below it; members of a node's own cycle
+    aren't below it.
     """
-    links = edges.select(*[F.col(c).alias(f"s{i}") for i, c in enumerate(scope)], F.col(child).alias("child"), F.col(parent).alias("parent")).filter("child is not null and parent is not null")
     keys = [f"s{i}" for i in range(len(scope))]
-    wide = links.groupBy(*keys).count().filter(F.col("count") > bound).select(*keys)
-    large = wide.collect()  # fewer than all links / bound
+    links = edges.select(*[F.col(c).alias(k) for k, c in zip(keys, scope)], F.col(child).alias("child"), F.col(parent).alias("parent")).filter("child is not null and parent is not null")
+    fields = T.StructType([T.StructField(k, links.schema[k].dataType) for k in keys] + list(T._parse_datatype_string(COLUMNS[emit]).fields))
+    names = [f.name for f in fields]
+    links, wide, large = by_size(links, keys, bound)
     found = None
-    if large:
+    if wide is not None:
         from verdigraph.operators.wide import wide_hierarchy
 
-        same = lambda row: _all([F.col(k).eqNullSafe(F.lit(row[k])) for k in keys])
-        is_large = _any([same(row) for row in large])
-        number = F.coalesce(*[F.when(same(row), F.lit(i)) for i, row in enumerate(large)])  # joins need keys that aren't null
-        found = wide_hierarchy(links.filter(is_large).select(number.alias("large"), "child", "parent"), ["large"], emit)
-        for k in keys:
-            value = F.coalesce(*[F.when(F.col("large") == i, F.lit(row[k])) for i, row in enumerate(large)])
-            found = found.withColumn(k, value.cast(links.schema[k].dataType))
-        links = links.filter(~is_large)
-    fields = T.StructType([T.StructField(k, links.schema[k].dataType) for k in keys] + list(T._parse_datatype_string(COLUMNS[emit]).fields))
-    names = [f.name for f in fields]
+        found = with_scope(wide_hierarchy(wide.select("large", "child", "parent"), ["large"], emit, bound), large, keys)
+        found = found.filter("cycle is not null") if only_cycles else found
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, SLICE, keys):
-            yield from _rows(part, keys, emit, names)
+            yield from _rows(part, keys, emit, names, only_cycles)
 
-    near = links.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, fields)
+    near = (links.repartition(*keys).sortWithinPartitions(*keys) if keys else links.coalesce(1)).mapInArrow(run, fields)
     out = near if found is None else near.unionByName(found.select(*names))
     return out.select(*[F.col(k).alias(c) for k, c in zip(keys, scope)], *names[len(keys) :])
 
 
-def _all(conditions: list) -> F.Column:
-    return conditions[0] if len(conditions) == 1 else conditions[0] & _all(conditions[1:])
-
-
-def _any(conditions: list) -> F.Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out | c
-    return out
-
-
 # --- arrays -----------------------------------------------------------------------------------------------------------
 
 
@@ -248,6 +237,7 @@ class Forest:
             self.chain[on] = self.chain[self.above[on]]
             self.place[on] = self.place[self.above[on]] + 1
 
+    @cached_property
     def chains(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All steps by chain and place; where each chain begins there, and its length."""
         steps = np.concatenate(self.levels) if self.levels else np.zeros(0, np.int64)
@@ -288,40 +278,49 @@ class Forest:
             bag.add(step[first], chain[first], place[first])
         return bag.all()
 
-    def paths(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(step of each path, its length, all steps passed, end to end), from chain segments, by level."""
-        steps, begins, _ = self.chains()
-        last = self.levels[0] if self.levels else np.zeros(0, np.int64)
-        n_seg = np.ones(len(last), np.int64)
-        seg_chain, seg_from, seg_to = self.chain[last], self.place[last], self.place[last]
-        bag = Bag(self.n, last, n_seg, np.arange(len(last)))
-        store = [seg_chain, seg_from, seg_to]
-        for k, level in enumerate(self.levels):
-            if k:
-                who, parents = self.up.of_nodes(level)
-                again, count, at = bag.of(parents)
-                node, before = level[who[again]], parents[again]
-                whole = (self.above[node] == before) & (self.chain[node] == self.chain[before])
-                n_seg = count + ~whole
-                take = spans(at, count)
-                ends = np.cumsum(n_seg)
-                hole = np.zeros(int(ends[-1]) if len(ends) else 0, bool)
-                hole[(ends - 1)[~whole]] = True
-                parts = []
-                for old, new in zip(store, (self.chain[node], self.place[node], self.place[node])):
-                    part = np.empty(len(hole), np.int64)
-                    part[~hole] = old[take]
-                    part[hole] = new[~whole]
-                    parts.append(part)
-                parts[2][(ends - 1)[whole]] = self.place[node[whole]]
-                base = len(store[0])
-                bag.add(*_by(node, n_seg, base + ends - n_seg))
-                store = [np.concatenate(x) for x in zip(store, parts)]
-                last, (seg_chain, seg_from, seg_to) = node, parts
-            lengths = seg_to - seg_from + 1
-            passed = steps[spans(begins[seg_chain] + seg_from, lengths)]
-            owner = np.repeat(np.arange(len(last)), n_seg)
-            yield last, np.bincount(owner, weights=lengths, minlength=len(last)).astype(np.int64), passed
+    def ways(self) -> np.ndarray:
+        """How many ways lead down to each step."""
+        n = np.zeros(self.n, np.int64)
+        if self.levels:
+            n[self.levels[0]] = 1
+        for level in self.levels[1:]:
+            who, parents = self.up.of_nodes(level)
+            if n[parents].sum(dtype=float) > 1 << 62:
+                raise OverflowError("more ways than can be numbered")
+            np.add.at(n, level[who], n[parents])
+        return n
+
+    def entries(self) -> np.ndarray:
+        """For each step the nearest one of its chain, itself or above, that has other parents than its chain's, or none."""
+        out = np.arange(self.n)
+        one = (np.diff(self.up.at) == 1) & (self.place > 0)
+        for level in self.levels[1:]:
+            on = level[one[level]]
+            out[on] = out[self.above[on]]
+        return out
+
+    def paths(self, n_ways: np.ndarray, entry: np.ndarray, step: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ways by step and number: their lengths, and all steps passed, end to end, as concatenated chain segments."""
+        steps, begins, _ = self.chains
+        until = np.concatenate(([0], np.cumsum(n_ways[self.up.to])))  # ways through all parents so far
+        segments, length = [], np.zeros(len(step), np.int64)
+        row, here, k = np.arange(len(step)), step, number
+        while len(row):
+            top = entry[here]
+            size = self.place[here] - self.place[top] + 1
+            segments.append((row, begins[self.chain[here]] + self.place[top], size))
+            length[row] += size
+            going = self.up.at[top + 1] > self.up.at[top]
+            row, top, k = row[going], top[going], k[going]
+            nth = until[self.up.at[top]] + k
+            link = np.searchsorted(until, nth, "right") - 1
+            here, k = self.up.to[link], nth - until[link]
+        out = np.empty(int(length.sum()), np.int64)
+        end = np.cumsum(length)
+        for row, start, size in segments:
+            end[row] -= size
+            out[spans(end[row], size)] = steps[spans(start, size)]
+        return length, out
 
 
 class Bag:
@@ -369,15 +368,10 @@ def distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[new], b[new]
 
 
-def _by(step: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    order = np.argsort(step, kind="stable")
-    return step[order], *(x[order] for x in values)
-
-
 # --- from and to Arrow ------------------------------------------------------------------------------------------------
 
 
-def _rows(part: pa.Table, keys: list[str], emit: str, names: list[str]) -> Iterator[pa.RecordBatch]:
+def _rows(part: pa.Table, keys: list[str], emit: str, names: list[str], only_cycles: bool = False) -> Iterator[pa.RecordBatch]:
     m = part.num_rows
     scope_code = np.zeros(m, np.int64)
     for k in keys:
@@ -416,32 +410,29 @@ def _rows(part: pa.Table, keys: list[str], emit: str, names: list[str]) -> Itera
     members = np.bincount(step, minlength=n)
     member_at = np.cumsum(members) - members
     if emit == "paths":
-        number = np.zeros(n, np.int64)
-        for last, length, passed in forest.paths():
-            order = np.argsort(last, kind="stable")
-            run_first = np.flatnonzero(np.r_[True, np.diff(last[order]) != 0]) if len(last) else np.zeros(0, np.int64)
-            number = np.empty(len(last), np.int64)
-            number[order] = np.arange(len(last)) - np.repeat(run_first, np.diff(np.r_[run_first, len(last)]))
+        n_ways, entry = forest.ways(), forest.entries()
+        until = np.cumsum(n_ways[step])  # rows of all nodes so far
+        many = max(1, min(ROWS, PASSED // max(1, len(forest.levels))))
+        for a in range(0, int(until[-1]) if n else 0, many):
+            nth = np.arange(a, min(a + many, int(until[-1])))
+            nodes = np.searchsorted(until, nth, "right")
+            s = step[nodes]
+            number = nth - (until[nodes] - n_ways[s])
+            length, passed = forest.paths(n_ways, entry, s, number)
             starts = np.cumsum(length) - length
-            which = np.repeat(np.arange(len(last)), members[last])
-            nodes = member_order[spans(member_at[last], members[last])]
-            for a in range(0, len(which), ROWS):
-                w = which[a : a + ROWS]
-                take = spans(starts[w], length[w])
-                steps = passed[take]
-                is_cycle = cycle[steps] >= 0
-                places = (take - np.repeat(starts[w], length[w]))[is_cycle].astype(np.int32)
-                owner = np.repeat(np.arange(len(w)), length[w])[is_cycle]
-                yield from out(
-                    nodes[a : a + ROWS],
-                    path_no=pa.array(number[w].astype(np.int32)),
-                    root=text(passed[starts[w]]),
-                    path=lists(length[w], text(steps)),
-                    cycle_steps=lists(np.bincount(owner, minlength=len(w)), pa.array(places)),
-                )
+            is_cycle = cycle[passed] >= 0
+            owner = np.repeat(np.arange(len(s)), length)
+            places = (np.arange(len(passed)) - starts[owner])[is_cycle].astype(np.int32)
+            yield from out(
+                nodes,
+                path_no=pa.array(number),
+                root=text(passed[starts]),
+                path=lists(length, text(passed)),
+                cycle_steps=lists(np.bincount(owner[is_cycle], minlength=len(s)), pa.array(places)),
+            )
         return
     at, chain, place = forest.intervals()
-    steps, begins, lengths = forest.chains()
+    steps, begins, lengths = forest.chains
     rest = lengths[chain] - place
     if emit == "descendants":
         for a in range(0, len(at), ROWS):
@@ -459,8 +450,10 @@ def _rows(part: pa.Table, keys: list[str], emit: str, names: list[str]) -> Itera
     r_step, r_root = forest.roots()
     r_count = np.bincount(r_step, minlength=n)
     r_at = np.cumsum(r_count) - r_count
-    for a in range(0, n, ROWS):
-        nodes = np.arange(a, min(n, a + ROWS))
+    wanted = on if only_cycles else np.arange(n)
+    many = max(1, min(ROWS, PASSED // max(1, len(forest.levels))))
+    for a in range(0, len(wanted), many):
+        nodes = wanted[a : a + many]
         s = step[nodes]
         roots = r_root[spans(r_at[s], r_count[s])]
         count, passed = _upward(forest, begins, steps, s)

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(name: str = "verdigraph", cpus: str = "*", partitions: int = 8) -> SparkSession:
@@ -42,23 +45,56 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder all executors share, its lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share; set where it is unset.
 
-    The folder is ``spark.checkpoint.dir`` of the session. Only a local session may run without it; it then gets a
-    temporary folder of this machine.
+    Only a local session may run without it; it then gets a temporary folder of this machine.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared:
             if not sc.master.startswith("local["):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             shared = tempfile.mkdtemp(prefix="verdigraph-")
         sc.setCheckpointDir(shared)
+    return sc.getCheckpointDir()
+
+
+def new_folder(spark: SparkSession) -> str:
+    """The name of a new folder within the shared one."""
+    return f"{shared_folder(spark)}/verdigraph-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def by_size(rows: DataFrame, scope: list[str], bound: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Rows of scopes of at most ``bound`` rows; those of larger ones, with a number ``large`` for the scope; these scopes.
+
+    Larger scopes are a counted table that is joined, however many they are; (rows, None, None) if there are none. No
+    columns are one scope. The number is never null, so it can be joined on.
+    """
+    counted = rows.groupBy(*scope).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bound)
+    if counted.isEmpty():
+        return rows, None, None
+    names = [F.col(c).alias(f"_{c}") for c in scope]
+    large = checkpointed(counted.select(*names, F.monotonically_increasing_id().alias("large")))
+    if not scope:
+        return rows.limit(0), rows.withColumn("large", F.lit(large.first().large)), large
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in scope])
+    return rows.join(large, same, "left_anti"), rows.join(large, same).drop(*[f"_{c}" for c in scope]), large
+
+
+def with_scope(found: DataFrame, large: DataFrame, scope: list[str]) -> DataFrame:
+    """``found`` with the columns of the scopes that ``large`` numbers."""
+    back = large.select("large", *[F.col(f"_{c}").alias(c) for c in scope])
+    return found.join(back, "large").drop("large")
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int, scope: list[str] | None = None) -> Iterator[pa.Table]:
     """Tables of about ``rows`` rows from a partition; with ``scope``, which must be sorted by it, no scope is torn apart (one of no columns is the whole partition)."""
     held: list[pa.RecordBatch] = []

@@ -2,18 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigraph.runtime import checkpointed, table
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder that all executors reach."""
-    checkpointed(spark.range(1))  # sets the session's folder where it is unset
-    return f"{spark.sparkContext.getCheckpointDir()}/verdigraph-{uuid.uuid4().hex}"
+from verdigraph.runtime import new_folder, table
 
 
 def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -34,7 +26,7 @@ def windowed(stream: DataFrame, time: str, late: str, window: str, *by: str) ->
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """All there is now, through the stream, written and read again. Can be restarted at any batch."""
-    folder = shared_folder(stream.sparkSession)
+    folder = new_folder(stream.sparkSession)
     if mode == "complete":
 
         def put(df: DataFrame, batch: int) -> None:
