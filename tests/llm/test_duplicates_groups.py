@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from verdigraph.llm import duplicates
 from verdigraph.llm.duplicates import copies, records
@@ -95,6 +96,17 @@ def test_more_names_than_links_held(spark):
     assert sorted((r.name, r.group) for r in got) == sorted((f"{c}{i:02d}", f"x{i:02d}") for c in "xyz" for i in range(28))
 
 
+@pytest.mark.parametrize("kind", ["star", "chain"])
+def test_large_scope_is_spread(spark, kind):
+    n, bound = 10_000, 1_000
+    other = F.lit("a hub") if kind == "star" else F.format_string("n%05d", F.col("id") + 1)
+    df = spark.range(n).select(F.lit(1).alias("g"), F.format_string("n%05d", "id").alias("x"), other.alias("y"))
+    got = consolidate(df.repartition(8), ["g"], "x", "y", bound).collect()
+    assert len(got) == n + 1 and {r.group for r in got} == {"a hub" if kind == "star" else "n00000"}
+    parts = df.repartition(10, "g", "x", "y").groupBy(F.spark_partition_id().alias("p")).count()
+    assert max(r["count"] for r in parts.collect()) < 2 * n / 10
+
+
 def test_no_pairs(spark):
     df = spark.createDataFrame([], "g long, a string, b string")
     assert consolidate(df, ["g"], "a", "b").collect() == []

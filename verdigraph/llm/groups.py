@@ -5,9 +5,11 @@ that are linked to it directly or through others of the same scope.
 
 Method: union-find runs within the partitions the pairs come in, and only spanning forests leave them (a link per name at
 most). Forests of scopes that fit a bounded partition are merged there, whole scopes together. A larger scope's forests
-are merged in fewer and fewer partitions of at most ``bound`` links until one is left; where merging stops to shrink
-them, a round of contraction follows (each name joins its neighbour of the least hash; about half of the names go), by
-grouping and joins that no single name can overload. No component is ever collected beyond the bound.
+are merged in fewer and fewer partitions of about ``bound`` links until one is left. The links of a partition are picked
+by a hash of both ends, so a name that all are linked to is spread over all partitions. Where merging stops to shrink the
+forests (a tree of more names than a partition holds can't shrink), a round of contraction follows: each name joins its
+neighbour of the least hash, about half of the names go, by grouping and joins that no single name can overload. No
+component is ever collected beyond the bound.
 
 Defined cases: pairs with a null end are no links, nor do they make the other end a name; a pair of a name with itself
 makes a group of one; repeated and reversed pairs change nothing; a null scope is a scope; extra columns are ignored.
@@ -24,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdigraph.runtime import checkpointed, slices
+from verdigraph.operators.wide import contracted, relabelled
+from verdigraph.runtime import by_size, checkpointed, slices, with_scope
 
 #: Links that one task may hold.
 BOUND = 1_000_000
@@ -76,7 +79,7 @@ def consolidate(pairs: DataFrame, scope: list[str], a: str, b: str, bound: int =
     def local(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for part in slices(batches, min(bound, piece)):
-            part = part if held is None else pa.concat_tables([held, part]).combine_chunks()
+            part = part if held is None else pa.concat_tables([held, part.cast(held.schema)]).combine_chunks()
             held = forest(part, keys)
             if held.num_rows >= bound:  # as much as a task may hold: let it go, begin anew
                 yield from held.to_batches(max_chunksize=50_000)
@@ -88,61 +91,40 @@ def consolidate(pairs: DataFrame, scope: list[str], a: str, b: str, bound: int =
         for part in slices(batches, min(bound, piece), keys):
             yield from forest(part, keys).to_batches(max_chunksize=50_000)
 
-    def last(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, min(bound, piece), []):  # at most bound links, but up to twice as many names: never let go
-            yield from forest(part, keys).to_batches(max_chunksize=50_000)
-
     first = checkpointed(links.mapInArrow(local, schema))
-    result = None
-    large = first.groupBy(*keys).count().filter(F.col("count") > bound).select(*keys).collect() if keys else [()] * (first.count() > bound)
-    if large:  # fewer scopes than all links / bound
-        test = F.lit(not keys)
-        for row in large:
-            one = F.lit(True)
-            for k in keys:
-                one = one & F.col(k).eqNullSafe(F.lit(row[k]))
-            test = test | one
-        result = _merged(first.filter(test), keys, bound, local, last, schema)
-        first = first.filter(~test)
-    near = first.repartition(*keys).sortWithinPartitions(*keys) if keys else first.coalesce(1)
-    if keys or not large:
-        done = near.mapInArrow(whole, schema)
-        result = done if result is None else done.unionByName(result)
-    return result.select(*[F.col(k).alias(c) for k, c in zip(keys, scope)], F.col("a").alias("name"), F.col("b").alias("group"))
-
-
-def _merged(links: DataFrame, keys: list[str], bound: int, local, last, schema: T.StructType) -> DataFrame:  # noqa: ANN001
-    """Groups of scopes too large for a task."""
-    on = [*keys, "a"]
+    near, wide, large = by_size(first, keys, bound)
+    done = (near.repartition(*keys).sortWithinPartitions(*keys) if keys else near.coalesce(1)).mapInArrow(whole, schema)
+    if wide is not None:
+        found = _merged(checkpointed(wide.select("large", "a", "b")), ["large"], bound, min(bound, piece))
+        done = done.unionByName(with_scope(found, large, keys).select(*schema.names))
+    return done.select(*[F.col(k).alias(c) for k, c in zip(keys, scope)], F.col("a").alias("name"), F.col("b").alias("group"))
+
+
+def _merged(links: DataFrame, keys: list[str], bound: int, piece: int) -> DataFrame:
+    """Groups of scopes too large for a task; keys are never null."""
     names = links.select(*keys, "a").unionByName(links.select(*keys, F.col("b").alias("a"))).distinct()
+    links = checkpointed(links.filter("a <> b").distinct())
+    schema = links.schema
+
+    def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for part in slices(batches, piece):
+            held = forest(part if held is None else pa.concat_tables([held, part.cast(held.schema)]).combine_chunks(), keys)
+            held = held.filter(pc.not_equal(held["a"], held["b"])).combine_chunks()
+        if held is not None:
+            yield from held.to_batches(max_chunksize=50_000)
+
     steps: list[DataFrame] = []
-    size, turn = links.count(), 0
+    size = links.count()
     while size > bound:
         parts = -(-size // bound)
-        turn += 1
-        # Forests that share names meet: by the smaller end in one turn, by the other in the next.
-        merged = checkpointed(links.repartition(parts, *keys, "b" if turn % 2 else "a").mapInArrow(local, schema).filter("a <> b").distinct())
+        merged = checkpointed(links.repartition(parts, *keys, "a", "b").mapInArrow(merge, schema).distinct())
         left = merged.count()
-        if left <= 0.7 * size:
-            links, size = merged, left
-            continue
-        links = merged
-        ways = links.unionByName(links.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))
-        luck = {c: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("x")) for c in "ab"}
-        step = ways.groupBy(*on).agg(F.min(luck["b"]).alias("m"))
-        step = step.select(*on, F.least(luck["a"], "m").getField("x").alias("to"))
-        step = checkpointed(step)
-        steps.append(step)
-        moved = links.join(step, on).select(*keys, F.col("to").alias("a"), "b")
-        other = step.select(*keys, F.col("a").alias("b"), F.col("to").alias("c"))
-        moved = moved.join(other, [*keys, "b"]).select(*keys, "a", F.col("c").alias("b")).filter("a <> b").distinct()
-        links = checkpointed(moved)
-        size = links.count()
-    end = links.coalesce(1).mapInArrow(last, schema).select(*on, F.col("b").alias("to"))
-    label = names.select(*on, F.col("a").alias("at"))
-    for step in [*steps, end]:
-        here = step.select(*keys, F.col("a").alias("at"), "to")
-        label = label.join(here, [*keys, "at"], "left").select(*on, F.coalesce("to", "at").alias("at"))
-    label = checkpointed(label)
-    least = label.groupBy(*keys, "at").agg(F.min("a").alias("b"))
-    return label.join(least, [*keys, "at"]).select(*on, "b")
+        if left > 0.7 * size:
+            merged, step = contracted(merged, keys, len(steps))
+            steps.append(step)
+            left = merged.count()
+        links, size = merged, left
+    # At most bound links are left. A name without a link to a smaller one has no row here and stays where it is.
+    end = links.coalesce(1).mapInArrow(merge, schema).select(*keys, "a", F.col("b").alias("to"))
+    return relabelled(names, [*steps, end], keys)

@@ -68,6 +68,15 @@ def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
     return _members(spark, folder)
 
 
+def p5_merged(spark: SparkSession, folder: str, bound: int = 2_000) -> DataFrame:
+    """The same with all graphs as one scope, of names that begin with their graph, so that forests are merged in partitions of ``bound`` links."""
+    of = lambda c: F.concat_ws("\t", F.lpad(F.col("graph_id").cast("string"), 12, "0"), c)
+    made = groups.consolidate(same_concept(spark, folder).select(of("a").alias("a"), of("b").alias("b")), [], "a", "b", bound)
+    made = made.select(F.substring("name", 1, 12).cast("long").alias("graph_id"), *[F.expr(f"substring({c}, 14)").alias(c) for c in ("name", "group")])
+    entities = table(spark, folder, "knowledge_graph_partial").select("graph_id", F.explode("entities").alias("name"))
+    return made.join(entities, ["graph_id", "name"], "left_semi")
+
+
 def queries() -> dict:
     return {
         "p2_found": p2_found,
@@ -76,6 +85,7 @@ def queries() -> dict:
         "p4_records": p4_records,
         "p5_found": p5_found,
         "p5_groups": p5_groups,
+        "p5_merged": p5_merged,
     }
 
 
@@ -122,6 +132,7 @@ entities AS (SELECT DISTINCT graph_id, unnest(entities) AS name FROM knowledge_g
 
 
 def oracle_sql() -> dict[str, str]:
+    grouped = _GROUPS + """SELECT r.graph_id, r.a AS name, min(r.b) AS "group" FROM reach r JOIN entities n ON n.graph_id = r.graph_id AND n.name = r.a GROUP BY ALL"""
     forms = _NAMES + f", forms AS (SELECT graph_id, name, {_form_sql('name')} AS form FROM names)"
     return {
         "p2_found": forms + " SELECT a.graph_id, a.name AS name_a, b.name AS name_b FROM forms a JOIN forms b ON a.graph_id = b.graph_id AND a.form = b.form AND a.name < b.name",
@@ -131,5 +142,6 @@ def oracle_sql() -> dict[str, str]:
 FROM r GROUP BY graph_id, fields, first""",
         "p5_found": _GROUPS + """, m AS (SELECT r.graph_id, r.a AS name, min(r.b) AS name_a FROM reach r JOIN entities n ON n.graph_id = r.graph_id AND n.name = r.b GROUP BY ALL)
 SELECT m.graph_id, m.name_a, m.name AS name_b FROM m JOIN entities n ON n.graph_id = m.graph_id AND n.name = m.name WHERE m.name <> m.name_a""",
-        "p5_groups": _GROUPS + """SELECT r.graph_id, r.a AS name, min(r.b) AS "group" FROM reach r JOIN entities n ON n.graph_id = r.graph_id AND n.name = r.a GROUP BY ALL""",
+        "p5_groups": grouped,
+        "p5_merged": grouped,
     }
