@@ -10,15 +10,16 @@ from verdigraph.llm import duplicates
 from verdigraph.llm.duplicates import copies, records
 from verdigraph.llm.groups import consolidate
 
-ENTRIES = ["kind: Tool; Name X", "name x|KIND:tool", " NAME-X ;kind tool;", "name x", "Náme x", "na​me x", ";;", "", None, "…", "name x;name x", "name\tx\n", "a+b", "A+B.", "ÅB", "åb", "x" * 50_000, "X" * 50_000]
+ENTRIES = ["kind: Tool; Name X", "name x|KIND:tool", " NAME-X ;kind tool;", "name x", "Náme x", "na​me x", ";;", "", None, "…", "name x;name x", "name\tx\n", "a+b", "A+B.", "ÅB", "åb", "x" * 50_000, "X" * 50_000, "ΑΣ Β", "ΑΣΒ", "ας β", "ΟΔΟΣ", "οδοσ", "οδος", "straße", "STRASSE"]
 
 
 def key(entry):
     import unicodedata
 
+    fold = lambda f: "".join(c.casefold() if len(c.casefold()) == 1 else c.lower() for c in f)
     if entry is None:
         return ()
-    fields = ["".join(c for c in f.lower() if unicodedata.category(c)[0] not in "ZP" and c not in "\t\n\x0b\f\r\x85") for f in entry.replace("|", ";").split(";")]
+    fields = ["".join(c for c in fold(f) if unicodedata.category(c)[0] not in "ZP" and c not in "\t\n\x0b\f\r\x85") for f in entry.replace("|", ";").split(";")]
     return tuple(sorted(f for f in fields if f))
 
 

@@ -5,7 +5,8 @@ form; these are grouped again by the full canonical text and the numbers summed.
 shuffle, so a record of which a third of all rows are copies is a few rows when it moves.
 
 The fields of an entry are the parts between ``;`` or ``|``. Of a field only what is left without white space and
-punctuation (categories Z and P, tabs, line breaks) counts, in lower case. The canonical form is the sorted array of the
+punctuation (categories Z and P, tabs, line breaks) counts, whatever the case: letters that Unicode folds to one letter
+are one, so all three sigmas are the same, wherever they stand; one letter never becomes two (ß isn't ss). The canonical form is the sorted array of the
 fields with something left; the same fields in any order, each as often, are the same record.
 
 Defined cases: null entries and entries without fields are no records and have no row; an entry is known by its scope and
@@ -14,6 +15,8 @@ position, so the same row again is no further copy; entries of any length are co
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,9 +26,22 @@ BLOCK = 65_536
 IGNORED = r"[\p{Z}\p{P}\t\n\x0b\f\r\x85]+"
 
 
+@cache
+def _late() -> tuple[str, str]:
+    """Letters in lower case that Unicode folds to another letter: ς to σ, say."""
+    pairs = [(c, c.casefold()) for c in map(chr, range(0x80, 0x1E944)) if c.isalpha() and c.lower() == c != c.casefold()]
+    pairs = [(a, b) for a, b in pairs if len(b) == 1 and b.lower() == b]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def folded(text: Column) -> Column:
+    """Without case; what follows a letter never matters."""
+    return F.translate(F.lower(text), *_late())
+
+
 def canonical(entry: Column) -> Column:
     """The sorted fields of an entry."""
-    fields = F.transform(F.split(F.lower(entry), "[;|]"), lambda f: F.regexp_replace(f, IGNORED, ""))
+    fields = F.transform(F.split(folded(entry), "[;|]"), lambda f: F.regexp_replace(f, IGNORED, ""))
     return F.array_sort(F.filter(fields, lambda f: f != ""))
 
 
@@ -40,11 +56,16 @@ def survivors(rows: DataFrame, scope: list[str], entry: str, position: str) -> D
     return met.withColumn("record", canonical(F.col(entry))).filter(F.size("record") > 0)
 
 
-def records(rows: DataFrame, scope: list[str], entry: str, position: str) -> DataFrame:
-    """One row per record: scope, record, copies, first position and the entry there."""
-    own = survivors(rows, scope, entry, position)
-    first = F.array_min("at")
-    return own.groupBy(*scope, "record").agg(F.sum(F.size("at")).alias("copies"), F.min(first).alias("first"), F.min_by(entry, first).alias("entry"))
+def records(rows: DataFrame, scope: list[str], entry: str, position: str, once: bool = False) -> DataFrame:
+    """One row per record: scope, record, copies, first position and the entry there.
+
+    ``once``: no position of a scope comes twice; else repeated rows are dropped first, which shuffles them all.
+    """
+    rows = rows.select(*scope, entry, position).filter(F.col(entry).isNotNull())
+    rows = rows if once else rows.dropDuplicates([*scope, position])
+    met = rows.groupBy(*scope, entry).agg(F.count(F.lit(1)).alias("n"), F.min(position).alias("at"))
+    met = met.withColumn("record", canonical(F.col(entry))).filter(F.size("record") > 0)
+    return met.groupBy(*scope, "record").agg(F.sum("n").alias("copies"), F.min("at").alias("first"), F.min_by(entry, "at").alias("entry"))
 
 
 def copies(rows: DataFrame, scope: list[str], entry: str, position: str) -> DataFrame:

@@ -29,9 +29,11 @@ def p2_forms(spark: SparkSession, folder: str) -> DataFrame:
     return lookalikes.visible_form(graph_names(spark, folder).distinct(), "name")
 
 
-def entity_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """graph_id, pos, entry. A graph loaded twice has its rows twice."""
-    return table(spark, folder, "knowledge_graph_partial").select("graph_id", F.posexplode("entities").alias("pos", "entry"))
+def entity_rows(spark: SparkSession, folder: str, once: bool = False) -> DataFrame:
+    """graph_id, pos, entry. A graph loaded twice has its rows twice, unless ``once``."""
+    graphs = table(spark, folder, "knowledge_graph_partial").select("graph_id", "entities")
+    graphs = graphs.dropDuplicates(["graph_id"]) if once else graphs
+    return graphs.select("graph_id", F.posexplode("entities").alias("pos", "entry"))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -40,7 +42,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_records(spark: SparkSession, folder: str) -> DataFrame:
     """Every record of a graph once, with its number of copies."""
-    return duplicates.records(entity_rows(spark, folder), ["graph_id"], "entry", "pos").withColumn("record", F.array_join("record", "; "))
+    return duplicates.records(entity_rows(spark, folder, once=True), ["graph_id"], "entry", "pos", once=True).withColumn("record", F.array_join("record", "; "))
 
 
 def same_concept(spark: SparkSession, folder: str) -> DataFrame:
@@ -117,7 +119,7 @@ _RECORDS = r"""
 WITH g AS (SELECT DISTINCT graph_id, entities FROM knowledge_graph_partial),
 e AS (SELECT graph_id, unnest(entities) AS entry, generate_subscripts(entities, 1) - 1 AS pos FROM g),
 k AS (SELECT graph_id, pos::INTEGER AS pos, entry, list_sort(list_filter(list_transform(string_split_regex(lower(entry), '[;|]'),
-        lambda f: regexp_replace(f, '[\pZ\pP\s\x0b\x{85}]+', '', 'g')), lambda f: f <> '')) AS fields FROM e WHERE entry IS NOT NULL),
+        lambda f: regexp_replace(replace(f, 'ς', 'σ'), '[\pZ\pP\s\x0b\x{85}]+', '', 'g')), lambda f: f <> '')) AS fields FROM e WHERE entry IS NOT NULL),
 r AS (SELECT graph_id, pos, entry, fields, min(pos) OVER (PARTITION BY graph_id, fields) AS first FROM k WHERE len(fields) > 0)
 """
 
