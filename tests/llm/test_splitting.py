@@ -8,7 +8,8 @@ import pyarrow as pa
 import pytest
 
 from verdigraph.llm.arrays import code_points
-from verdigraph.llm.splitting import KINDS, Layout, cut, split
+from verdigraph.llm.encoding import FOLDER, path_of, vocabulary
+from verdigraph.llm.splitting import KINDS, Layout, Sizes, cut, split
 
 WORDS = ["a", "bb.", "ccc", "dddddddd", "é!", "中" * 7, "x" * 30, "\n", "\n\n", "\r\n \r\n", " ", "　", "\xa0\n \n", "\r", "\t"]
 
@@ -39,7 +40,7 @@ def test_pieces(unit):
     layout = Layout(points, offsets)
     sums = at_byte if unit == "bytes" else np.arange(len(points) + 1)
     for size, overlap in ((40, 12), (40, 0), (17, 5), (400, 30)):
-        c = cut(layout, None if unit == "chars" else at_byte, size, overlap)
+        c = cut(layout, Sizes.of(pa.array(texts), at_byte, unit, ""), size, overlap)
         by = {}
         for k in range(len(c["row"])):
             by.setdefault(int(c["row"][k]), []).append({n: int(v[k]) for n, v in c.items()})
@@ -66,6 +67,40 @@ def test_pieces(unit):
             assert flagged == cut_in
 
 
+def test_pieces_by_tokens():
+    rng = random.Random(6)
+    words = [*WORDS[:-1], "Tokenization", "isn't", "2024", "naïve", "👩‍🔬", "—", "  ", "don't."]
+    texts = ["".join(rng.choice(words) + rng.choice(["", " "]) for _ in range(rng.randint(0, 80))) for _ in range(200)] + ["", " ", "🎉" * 40, "\U00012031" * 9]
+    v = vocabulary(path_of("byte_bpe_50k"))
+
+    def ids(text):
+        w, _ = v.words_of(pa.array([text]))
+        return [i for x in w for i in v.flat[v.at[x] : v.at[x] + v.count[x]].tolist()]
+
+    points, offsets, at_byte = code_points(pa.array(texts))
+    layout, sizes = Layout(points, offsets), Sizes.of(pa.array(texts), at_byte, "byte_bpe_50k", FOLDER)
+    whole = [ids(t) for t in texts]
+    for size, overlap in ((20, 6), (20, 0), (4, 1), (300, 40)):
+        c = cut(layout, sizes, size, overlap)
+        seen = [set() for _ in texts]
+        last = {}
+        for k in range(len(c["row"])):
+            row, start, fresh, stop = (int(c[n][k]) for n in ("row", "start", "fresh", "stop"))
+            base = int(offsets[row])
+            text = texts[row][start - base : stop - base]
+            n = int(sizes.between(np.array([start]), np.array([stop]))[0])
+            assert n <= size or stop == fresh + 1  # one character of more tokens than the size
+            first = int(sizes.sums[start] - sizes.sums[base])
+            edge = lambda x: x in (0, len(texts[row])) or texts[row][x - 1].isspace() or texts[row][x].isspace()  # noqa: B023, E731
+            if edge(start - base) and edge(stop - base):
+                assert ids(text) == whole[row][first : first + n]
+            if row in last and start < last[row]:
+                assert int(sizes.sums[last[row]] - sizes.sums[start]) <= overlap
+            last[row] = stop
+            seen[row] |= set(range(start - base, stop - base))
+        assert all(seen[i] >= {k for k, ch in enumerate(t) if not ch.isspace()} for i, t in enumerate(texts))
+
+
 def test_rows(spark):
     df = spark.createDataFrame([(1, "aa bb\n\ncc dd", "x"), (2, None, None), (3, " \n", None), (4, "z" * 100_000, None), (1, "aa bb\n\ncc dd", "x")], "k long, t string, text string")
     rows = split(df, "k", "t", [(7, 6, 2), (8, 50, None)]).collect()

@@ -87,6 +87,9 @@ class Vocabulary:
     def __init__(self, path: str) -> None:
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
+        self.sizes = np.zeros(max(self.ranks.values()) + 1, np.int64)  # bytes of each token
+        for token, rank in self.ranks.items():
+            self.sizes[rank] = len(token)
         self.base = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         pairs = {}
         for token, rank in self.ranks.items():

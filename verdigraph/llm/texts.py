@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigraph.llm import encoding, languages, packing, splitting
+from verdigraph.functions.text import SPACE
 from verdigraph.runtime import checkpointed, table
 
 
@@ -25,6 +28,26 @@ def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split(table(spark, folder, "documents"), "doc_id", "text", limits(spark, folder))
 
 
+def p3_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each text that has pieces: the visible characters of what the pieces don't repeat, and pieces above the limits."""
+    own = limits(spark, folder)
+    most = F.create_map(*[F.lit(x) for c, size, _ in own for x in (c, size)])
+    cut = splitting.split(table(spark, folder, "documents"), "doc_id", "text", own)
+    new = F.regexp_replace(F.expr("substring(text, cast(repeated as int) + 1)"), SPACE, "")
+    over = F.col("length") > most[F.col("config_id")]
+    return cut.groupBy("config_id", "doc_id").agg(F.sum(F.char_length(new)).alias("visible"), F.count_if(over).cast("int").alias("over"), F.min("start").alias("start"))
+
+
+def p3_by_tokens(spark: SparkSession, folder: str, tokenizers: str = encoding.FOLDER) -> DataFrame:
+    """Pieces of at most a token budget's capacity, an eighth of it repeated."""
+    budgets = table(spark, folder, "token_budgets").orderBy("budget_id").collect()  # a table of fixed size
+    parts = []
+    for tokenizer in sorted({b.tokenizer for b in budgets}):
+        own = [(b.budget_id, b.capacity, b.capacity // 8) for b in budgets if b.tokenizer == tokenizer]
+        parts.append(splitting.split(table(spark, folder, "documents"), "doc_id", "text", own, tokenizer, folder=tokenizers).withColumnRenamed("config_id", "budget_id"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def p6_ids(spark: SparkSession, folder: str, tokenizers: str = encoding.FOLDER) -> DataFrame:
     return encoding.encode(table(spark, folder, "documents"), "doc_id", "text", "byte_bpe_50k", tokenizers)
 
@@ -36,10 +59,7 @@ def p7_packed(spark: SparkSession, folder: str, tokenizers: str = encoding.FOLDE
     for tokenizer in sorted({b.tokenizer for b in budgets}):
         sizes = checkpointed(encoding.token_counts(table(spark, folder, "documents"), "doc_id", "text", tokenizer, tokenizers))
         parts.append(packing.pack(sizes, "doc_id", "n_tokens", [(b.budget_id, b.capacity) for b in budgets if b.tokenizer == tokenizer]))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _languages(spark: SparkSession, folder: str, emit: str) -> DataFrame:
@@ -64,6 +84,8 @@ def queries() -> dict:
     return {
         "p3_found": p3_found,
         "p3_pieces": p3_pieces,
+        "p3_coverage": p3_coverage,
+        "p3_by_tokens": p3_by_tokens,
         "p6_ids": p6_ids,
         "p7_packed": p7_packed,
         "p8_found": p8_found,
@@ -77,6 +99,9 @@ _SPACE = r"[\s\pZ\x0b\x1c-\x1f\x85\x{E000}]"
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_coverage": rf"""
+SELECT config_id, doc_id, length(regexp_replace(text, '{_SPACE}+', '', 'g')) AS visible, 0 AS over, length(regexp_extract(text, '^{_SPACE}*')) AS start
+FROM documents, builder_config WHERE regexp_matches(text, '[^' || substring('{_SPACE}', 2))""",
         # A carriage return before a line feed is kept as one more blank character, so that lengths stay.
         "p3_found": rf"""
 WITH t AS (SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10) || chr(57344)), chr(13), chr(10)) AS text FROM documents),
