@@ -91,9 +91,17 @@ def queries() -> dict:
     }
 
 
+# Letters drawn alike, and the Latin ones they look like; written out here, apart from the operator's table.
+_LETTERS = [
+    ("АВСЕԌНІӀЈКМОРԚЅТѴԜХҮасԁеһіјӏорԛѕѵԝхуү", "ABCEGHIIJKMOPQSTVWXYacdehijlopqsvwxyy"),  # Cyrillic
+    ("ΑΒΕϜΗΙͿΚΜΝΟΡΤΧΥΖϹονυρϲϳ", "ABEFHIJKMNOPTXYZCovupcj"),  # Greek
+    ("օհոսզɡցՕՏՍԼɑ", "ohnuqggOSULa"),  # Armenian and phonetic
+]
+
+
 def _form_sql(column: str) -> str:
     """The form of names in Latin, Greek and Cyrillic letters, by the database's own functions."""
-    pairs = [(x, latin) for part in (lookalikes.ALIKE, lookalikes.ALIKE_GREEK, lookalikes.ALIKE_OTHER) for latin, xs in part.items() for x in xs]
+    pairs = [pair for old, new in _LETTERS for pair in zip(old, new)]
     pairs += [(chr(c), chr(c - 0xFEE0)) for c in range(0xFF01, 0xFF5F)]
     pairs += [*zip("ёЁїЇ", "ëËïÏ"), ("µ", "μ"), *((x, "-") for x in "‐‑")]
     pairs += [(chr(c), " ") for c in (0xA0, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)]
