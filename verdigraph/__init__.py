@@ -19,7 +19,11 @@ _HOMES = {
     "InferenceError": "inference.engines",
     "ReplayEngine": "inference.engines",
     "RuleEngine": "inference.engines",
-    
+    "create_engine": "inference.engines",
+    "RichText": "sources.files",
+    "build_view_model": "plans.viewer",
+    "visualize": "plans.viewer",
+    "render_html": "sources.html",
 }
 __all__ = [*_HOMES]
 

@@ -10,7 +10,7 @@ from verdigraph.config import Config
 from verdigraph.inference.engines import InferenceError
 from verdigraph.plans.pipeline import GraphPipeline
 from verdigraph.runtime import local_session
-from verdigraph.schema import find_schema
+from verdigraph.schema import RelationSchema, find_schema
 from verdigraph.sources.graphs import view_source
 
 _OPTIONS = {
@@ -46,9 +46,25 @@ def parser() -> argparse.ArgumentParser:
     return out
 
 
+def start_logging(quiet: bool) -> None:
+    """Messages of this package; of converters and of Spark's bridge only errors."""
+    logging.basicConfig(level=logging.WARNING if quiet else logging.INFO, format="%(asctime)s %(levelname)s %(message)s", datefmt="%H:%M:%S")
+    for name in ("pypdf", "PIL", "py4j"):
+        logging.getLogger(name).setLevel(logging.ERROR)
+
+
+def vocabulary(schema: RelationSchema) -> str:
+    """A vocabulary as models are shown it, and a table of what outputs say of each type."""
+    flags = ("directed", "acyclic", "use_in_embedding")
+    rows = [("key", "verbose", *flags), *((t.key, t.verbose, *("yes" if getattr(t, f) else "no" for f in flags)) for t in schema)]
+    width = [max(len(r[k]) for r in rows) for k in range(len(rows[0]))]
+    table = "\n".join("  ".join(x.ljust(w) for x, w in zip(r, width)).rstrip() for r in rows)
+    return f"{schema.catalogue()}\n\n{table}\n\n{len(schema)} types; others become: {schema.fallback or '(dropped)'}"
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
-    logging.basicConfig(level=logging.WARNING if args.quiet else logging.INFO, format="%(levelname)s %(message)s")
+    start_logging(args.quiet)
     try:
         schema = find_schema(args.relations)
         config = Config.of(**{k: getattr(args, k) for k in _SETTINGS}, plural_suffixes=tuple(args.plural_suffixes) if args.plural_suffixes else None)
@@ -56,8 +72,7 @@ def main(argv: list[str] | None = None) -> int:
         print(f"wrong settings: {e}", file=sys.stderr)
         return 2
     if args.command == "relations":
-        print(schema.catalogue())
-        print(f"fallback: {schema.fallback}")
+        print(vocabulary(schema))
         return 0
     try:
         pipeline = GraphPipeline(local_session(), config, schema, verbose=not args.quiet)

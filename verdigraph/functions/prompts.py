@@ -12,7 +12,7 @@ Relation keys are identifiers: copy them letter by letter."""
 def _preference(schema: RelationSchema) -> str:
     if schema.fallback is None:
         return "- A pair that fits none of the types has no relation: leave it out."
-    return f"- Use {', '.join(schema.specific_keys())} wherever one of them holds; {schema.fallback} is for real links that fit none of these, not for doubt."
+    return f"- Use {schema.listed(fallback=False)} wherever one of them holds; {schema.fallback} is for real links that fit none of these, not for doubt."
 
 
 def _only_json(shape: str) -> str:
@@ -38,7 +38,7 @@ RULES
 - Source and target differ, and both are among the concepts.
 {_preference(schema)}
 - State only what the fragment says.
-- key is one of {schema.key_list()}.
+- key is one of {schema.listed()}.
 - A fragment without concepts gives empty lists.
 
 {_only_json(shape)}
@@ -59,7 +59,7 @@ RELATION TYPES (source first, then target)
 RULES
 - Source and target differ and are copied from the list.
 {_preference(schema)}
-- key is one of {schema.key_list()}.
+- key is one of {schema.listed()}.
 
 {_only_json('{"relations": [["source", "key", "target"]]}')}
 

@@ -118,20 +118,24 @@ class HttpEngine:
         return Answer(said.get("response", ""), said.get("thinking"))
 
 
+#: Engines by the name that a configuration gives; others may be added.
 ENGINES: dict[str, Callable[[Config], Engine]] = {"ollama": lambda c: HttpEngine(c.host, c.request_timeout)}
 
 
 def create_engine(config: Config) -> Engine:
-    if config.inference_engine not in ENGINES:
+    """The engine a configuration names."""
+    make = ENGINES.get(config.inference_engine)
+    if make is None:
         raise InferenceError(f"no engine {config.inference_engine!r}; there are {', '.join(sorted(ENGINES))}")
-    return ENGINES[config.inference_engine](config)
+    return make(config)
 
 
 def prepare(engine: Engine, config: Config) -> None:
     """The engine is reachable and has its models, or InferenceError."""
     if not engine.is_available():
         raise InferenceError(f"no inference engine at {config.host}")
-    if missing := [m for m in config.models if not engine.ensure_model(m)]:
+    models = config.needed_models()
+    if missing := [m for m in models if not engine.ensure_model(m)]:
         raise InferenceError(f"models that can't be had: {', '.join(missing)}")
-    for model in config.models:
+    for model in models:
         engine.warmup(model)

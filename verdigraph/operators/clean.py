@@ -68,6 +68,6 @@ def apply_node_map(found: DataFrame, nodes: DataFrame, scope: list[str]) -> Data
     return out.select(*scope, "source", "relation", "target").distinct()
 
 
-def entities(nodes: DataFrame, scope: list[str]) -> DataFrame:
-    """(scope, name): canonical names that remain."""
-    return nodes.filter("canonical is not null and canonical <> ''").select(*scope, F.col("canonical").alias("name")).distinct()
+def entities(nodes: DataFrame, scope: list[str], blank: bool = False) -> DataFrame:
+    """(scope, name): canonical names that remain; ``blank`` ones too if wanted."""
+    return nodes.filter("canonical is not null" if blank else "canonical is not null and canonical <> ''").select(*scope, F.col("canonical").alias("name")).distinct()

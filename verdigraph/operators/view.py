@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from verdigraph.functions.text import slug
+from verdigraph.operators.extract import array_triples
+from verdigraph.runtime import by_size, checkpointed
 
 NO_GROUP = "—"
+#: Rows of a scope that one task numbers.
+BOUND = 2_000_000
 
 
 def curated_parts(graphs: DataFrame, scope: list[str], types: DataFrame) -> dict[str, DataFrame]:
@@ -35,53 +41,115 @@ def curated_parts(graphs: DataFrame, scope: list[str], types: DataFrame) -> dict
     return {"group_of": group_of, "edges": edges, "relations": relations, "flagged": flagged}
 
 
-def flat_parts(graphs: DataFrame, scope: list[str], by: list[str], types: DataFrame, group_of: DataFrame) -> dict[str, DataFrame]:
-    """The same of flat graphs. ``types`` also has ``by`` (columns of ``graphs``, as the vocabulary)."""
-    raw = graphs.select(*scope, *by, F.posexplode("relations").alias("pos", "r")).filter((F.size("r") == 3) & ~F.exists("r", lambda x: x.isNull()))
-    part = lambda i: F.get(F.col("r"), F.lit(i))
-    raw = raw.select(*scope, *by, "pos", part(0).alias("source"), part(1).alias("key"), part(2).alias("target"))
+def flat_parts(graphs: DataFrame, scope: list[str], by: list[str], types: DataFrame, names: DataFrame, group_of: DataFrame | None) -> dict[str, DataFrame]:
+    """The same of flat graphs, and their names. ``types`` also has ``by`` (columns of ``graphs``, as the vocabulary).
+
+    A graph may be there more than once; ``group_of`` isn't needed for links and relations.
+    """
+    raw = array_triples(graphs, "relations", *scope, *by).withColumnRenamed("relation", "key")
     said = graphs.select(*scope, *by, F.posexplode("edges").alias("pos", "key")).filter("key is not null").withColumn("tier", F.lit(0))
-    all_keys = said.unionByName(raw.select(*scope, *by, "pos", "key", F.lit(1).alias("tier")))
-    keys = all_keys.groupBy(*scope, *by, "key").agg(F.min(F.struct("tier", "pos")).alias("o"))
-    keys = keys.withColumn("rel", F.row_number().over(W.partitionBy(*scope).orderBy("o")) - 1)
+    keys = said.unionByName(raw.select(*scope, *by, "pos", "key", F.lit(1).alias("tier"))).groupBy(*scope, *by, "key").agg(F.min(F.struct("tier", "pos")).alias("o"))
     flags = {"verbose": F.translate("key", "_", " "), "directed": F.lit(True), "acyclic": F.lit(False), "use_in_embedding": F.lit(True)}
     known = types.select(*by, "key", *[F.col(c).alias(f"t_{c}") for c in flags])
-    relations = keys.join(known, [*by, "key"], "left").select(*scope, "rel", "key", *[F.coalesce(f"t_{c}", d).alias(c) for c, d in flags.items()])
-    edges = raw.join(keys.select(*scope, "key", "rel"), [*scope, "key"]).select(*scope, "rel", "pos", "source", "target")
-    return {"group_of": group_of, "edges": edges, "relations": relations, "flagged": group_of.select(*scope, "name").limit(0)}
+    number = (F.row_number().over(W.partitionBy(*scope).orderBy("o")) - 1).alias("rel")  # a graph has few kinds of relations
+    relations = keys.join(known, [*by, "key"], "left").select(*scope, number, "key", *[F.coalesce(f"t_{c}", d).alias(c) for c, d in flags.items()])
+    relations = checkpointed(relations)
+    edges = raw.select(*scope, "pos", "source", "target", "key").join(relations.select(*scope, "key", "rel"), [*scope, "key"]).drop("key")
+    return {"names": names, "group_of": group_of, "edges": edges, "relations": relations, "flagged": names.limit(0)}
+
+
+def numbered(rows: DataFrame, scope: list[str], order: list[str], name: str, bound: int = BOUND) -> DataFrame:
+    """``rows`` (a table or checkpoint) with their number in their scope, from 0, by ``order``, which must tell them apart.
+
+    A scope above ``bound`` rows is sorted by ranges, so it is spread over tasks, and each range's numbers begin after
+    those of the ranges before it. Of these, only scopes torn by ranges need to be known: two for each range at most.
+    """
+    near, wide, large = by_size(rows, scope, bound)
+    near = near.withColumn(name, (F.row_number().over(W.partitionBy(*scope).orderBy(*order)) - 1).cast("long"))
+    if wide is None:
+        return near
+    ranges = max(2, -(-wide.count() // bound))
+    ranged = wide.repartitionByRange(ranges, "large", *order).sortWithinPartitions("large", *order)
+    at = checkpointed(ranged.withColumns({"range": F.spark_partition_id(), "seq": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}))
+    first = at.groupBy("large", "range").agg(F.min("seq").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("large").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    first = first.select("large", "range", (before - F.col("first")).alias("shift"))
+    return near.unionByName(at.join(first, ["large", "range"]).withColumn(name, F.col("seq") + F.col("shift")).select(*near.columns))
 
 
-def view_model(parts: dict[str, DataFrame], scope: list[str], more: DataFrame | None = None) -> dict[str, DataFrame]:
-    """groups, nodes, links, relations and isolated (counts) of graphs; ``more`` has names besides those with a group.
+class ViewModel:
+    """groups, nodes, links, relations and isolated (counts) of graphs, each worked out when asked for.
 
     Numbers start at 0 within a graph: nodes by name, groups by size, relations as they come. Links to itself are left
-    out, and repeated ones, a symmetric relation's in either direction, but for the first.
+    out, and repeated ones, a symmetric relation's in either direction, but for the first; ``pos`` orders links as they
+    come. ``parts`` may have ``names``, those of all ends and groups; ``shared`` keeps what several views need.
     """
-    group_of, edges, relations = parts["group_of"], parts["edges"], parts["relations"]
-    ends = edges.select(*scope, F.explode(F.array("source", "target")).alias("name"))
-    names = group_of.select(*scope, "name").unionByName(ends)
-    if more is not None:
-        names = names.unionByName(more.select(*scope, "name"))
-    named = names.distinct().join(group_of, [*scope, "name"], "left").withColumn("group", F.coalesce("group", F.lit(NO_GROUP)))
-    sizes = named.groupBy(*scope, "group").agg(F.count(F.lit(1)).alias("count"))
-    groups = sizes.withColumn("idx", F.row_number().over(W.partitionBy(*scope).orderBy(F.desc("count"), "group")) - 1)
-    flagged = parts["flagged"].withColumn("flag", F.lit(1))
-    nodes = named.withColumn("idx", F.row_number().over(W.partitionBy(*scope).orderBy("name")) - 1)
-    nodes = nodes.join(groups.select(*scope, "group", F.col("idx").alias("group_idx")), [*scope, "group"]).join(flagged, [*scope, "name"], "left")
-    nodes = nodes.select(*scope, "idx", "name", "group_idx", F.coalesce("flag", F.lit(0)).alias("flag"))
-    # A key that two groups share is one relation: the last of them has its edges.
-    number = relations.groupBy(*scope, "key").agg(F.max("rel").alias("r"))
-    kinds = relations.join(number, [*scope, "key"]).select(*scope, "rel", "r")
-    sided = relations.select(*scope, F.col("rel").alias("r"), "directed")
-    real = edges.filter("source <> target").join(kinds, [*scope, "rel"]).join(sided, [*scope, "r"])
-    a = F.when(F.col("directed"), F.col("source")).otherwise(F.least("source", "target"))
-    b = F.when(F.col("directed"), F.col("target")).otherwise(F.greatest("source", "target"))
-    links = real.groupBy(*scope, "r", a.alias("a"), b.alias("b")).agg(F.min(F.struct("pos", "source", "target")).alias("m")).select(*scope, "r", "m.source", "m.target")
-    count = links.groupBy(*scope, "r").agg(F.count(F.lit(1)).alias("n"))
-    key = relations.select(*scope, F.col("rel").alias("r"), "key").join(count, [*scope, "r"]).select(*scope, "key", "n")
-    counted = relations.join(key, [*scope, "key"], "left").select(*scope, F.col("rel").alias("idx"), "key", "verbose", "directed", "acyclic", "use_in_embedding", F.coalesce("n", F.lit(0)).alias("count"))
-    met = links.select(*scope, F.explode(F.array("source", "target")).alias("name")).groupBy(*scope, "name").count()
-    lone = nodes.join(met, [*scope, "name"], "left").groupBy(*scope).agg(F.count_if(F.col("count").isNull()).alias("isolated"))
-    at = lambda end: nodes.select(*scope, F.col("name").alias(end), F.col("idx").alias(f"{end[0]}"))
-    numbered = links.join(at("source"), [*scope, "source"]).join(at("target"), [*scope, "target"]).select(*scope, "s", "t", "r")
-    return {"groups": groups.select(*scope, "idx", "group", "count"), "nodes": nodes, "links": numbered, "relations": counted, "isolated": lone}
+
+    def __init__(self, parts: dict[str, DataFrame], scope: list[str], shared: bool = False) -> None:
+        self.parts, self.scope = parts, scope
+        self.keep = checkpointed if shared else lambda df: df
+
+    def __getitem__(self, which: str) -> DataFrame:
+        return getattr(self, which)
+
+    @cached_property
+    def names(self) -> DataFrame:
+        names = self.parts.get("names")
+        if names is None:
+            ends = self.parts["edges"].select(*self.scope, F.explode(F.array("source", "target")).alias("name"))
+            names = self.parts["group_of"].select(*self.scope, "name").unionByName(ends).distinct()
+        return checkpointed(names)
+
+    @cached_property
+    def numbers(self) -> DataFrame:
+        return self.keep(numbered(self.names, self.scope, ["name"], "idx")).withColumn("idx", F.col("idx").cast("int"))
+
+    @cached_property
+    def named(self) -> DataFrame:
+        known = self.numbers.join(self.parts["group_of"], [*self.scope, "name"], "left")
+        return self.keep(known.withColumn("group", F.coalesce("group", F.lit(NO_GROUP))))
+
+    @cached_property
+    def groups(self) -> DataFrame:
+        sizes = self.named.groupBy(*self.scope, "group").agg(F.count(F.lit(1)).alias("count"))
+        return sizes.select(*self.scope, (F.row_number().over(W.partitionBy(*self.scope).orderBy(F.desc("count"), "group")) - 1).alias("idx"), "group", "count")
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        groups = self.groups.select(*self.scope, "group", F.col("idx").alias("group_idx"))
+        flagged = self.parts["flagged"].withColumn("flag", F.lit(1))
+        out = self.named.join(groups, [*self.scope, "group"]).join(flagged, [*self.scope, "name"], "left")
+        return out.select(*self.scope, "idx", "name", "group_idx", F.coalesce("flag", F.lit(0)).alias("flag"))
+
+    @cached_property
+    def kinds(self) -> DataFrame:
+        """(scope, rel, r, directed): of relations that share a key, the last has all edges."""
+        last = F.max_by(F.struct(F.col("rel").alias("r"), "directed"), "rel").over(W.partitionBy(*self.scope, "key"))
+        return self.parts["relations"].select(*self.scope, "rel", "key", last.alias("l")).select(*self.scope, "rel", "key", "l.r", "l.directed")
+
+    @cached_property
+    def real(self) -> DataFrame:
+        """(scope, r, pos, source, target): links by name."""
+        edges = self.parts["edges"].filter("source <> target").join(self.kinds.drop("key"), [*self.scope, "rel"])
+        a = F.when(F.col("directed"), F.col("source")).otherwise(F.least("source", "target")).alias("a")
+        b = F.when(F.col("directed"), F.col("target")).otherwise(F.greatest("source", "target")).alias("b")
+        first = edges.groupBy(*self.scope, "r", a, b).agg(F.min(F.struct("pos", "source", "target")).alias("m"))
+        return self.keep(first.select(*self.scope, "r", "m.pos", "m.source", "m.target"))
+
+    @cached_property
+    def links(self) -> DataFrame:
+        out = self.real
+        for end in ("source", "target"):
+            out = out.join(self.numbers.select(*self.scope, F.col("name").alias(end), F.col("idx").alias(end[0])), [*self.scope, end])
+        return out.select(*self.scope, "s", "t", "r", "pos")
+
+    @cached_property
+    def relations(self) -> DataFrame:
+        count = self.real.groupBy(*self.scope, "r").agg(F.count(F.lit(1)).alias("n"))
+        known = self.parts["relations"].join(self.kinds.select(*self.scope, "rel", "r"), [*self.scope, "rel"]).join(count, [*self.scope, "r"], "left")
+        return known.select(*self.scope, F.col("rel").alias("idx"), "key", "verbose", "directed", "acyclic", "use_in_embedding", F.coalesce("n", F.lit(0)).alias("count"))
+
+    @cached_property
+    def isolated(self) -> DataFrame:
+        met = self.real.select(*self.scope, F.explode(F.array("source", "target")).alias("name")).distinct().withColumn("met", F.lit(1))
+        return self.names.join(met, [*self.scope, "name"], "left").groupBy(*self.scope).agg(F.count_if(F.col("met").isNull()).alias("isolated"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -147,7 +149,8 @@ def alias_map(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cleaned_triples(spark: SparkSession, folder: str) -> DataFrame:
-    return clean.apply_node_map(relations(spark, folder, once=False), nodes(spark, folder), G)
+    found = extract.distinct_triples(relations(spark, folder, once=False), G)
+    return clean.apply_node_map(found, checkpointed(nodes(spark, folder)), G)
 
 
 def domains(spark: SparkSession, folder: str) -> DataFrame:
@@ -200,24 +203,30 @@ def _curated_parts(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return view.curated_parts(graphs, G, table(spark, folder, "relation_types").withColumnRenamed("rel_key", "key"))
 
 
-def _flat_parts(spark: SparkSession, folder: str, grouped=graph.components, group: str = "component") -> dict[str, DataFrame]:  # noqa: ANN001
-    raw = staging(spark, folder, "vocabulary", "entities", "edges", "relations")
+def _flat_parts(spark: SparkSession, folder: str, grouped=None, group: str = "") -> dict[str, DataFrame]:  # noqa: ANN001
+    raw = staging(spark, folder, "vocabulary", "entities", "edges", "relations", once=False)
     types = table(spark, folder, "relation_types").withColumnRenamed("rel_key", "key")
     triples = extract.array_triples(raw, "relations", "graph_id")
-    every = extract.universe(raw.select("graph_id", F.explode("entities").alias("name")).filter("name is not null"), triples, G)
-    groups = grouped(triples, every, G)
-    labels = graph.hubs(groups, triples, G, group)
-    group_of = groups.join(labels, ["graph_id", group]).select("graph_id", "name", F.col("label").alias("group"))
-    return view.flat_parts(raw, G, ["vocabulary"], types, group_of)
+    every = checkpointed(extract.universe(raw.select("graph_id", F.explode("entities").alias("name")).filter("name is not null"), triples, G))
+    group_of = None
+    if grouped:
+        groups = checkpointed(grouped(triples, every, G))
+        labels = graph.hubs(groups, triples, G, group)
+        group_of = groups.join(labels, ["graph_id", group]).select("graph_id", "name", F.col("label").alias("group"))
+    return view.flat_parts(raw, G, ["vocabulary"], types, every, group_of)
+
+
+def _component_parts(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    return _flat_parts(spark, folder, graph.components, "component")
 
 
 def _community_parts(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """Flat graphs grouped as the pipeline's viewer groups them."""
-    return _flat_parts(spark, folder, lambda *x: checkpointed(graph.communities(*x)), "community")  # used often, so worked out once
+    return _flat_parts(spark, folder, graph.communities, "community")
 
 
 def _view(parts, which: str):  # noqa: ANN001, ANN202
-    return lambda spark, folder: view.view_model(parts(spark, folder), G)[which]
+    return lambda spark, folder: view.ViewModel(parts(spark, folder), G)[which].drop("pos")
 
 
 def flat_graph(spark: SparkSession, folder: str) -> DataFrame:
@@ -229,18 +238,14 @@ def flat_graph(spark: SparkSession, folder: str) -> DataFrame:
 
 def stage_counts(spark: SparkSession, folder: str) -> DataFrame:
     """What each graph has before and after cleaning."""
-    count = lambda df, name: df.groupBy("graph_id").agg(F.count(F.lit(1)).alias(name))
-    own = nodes(spark, folder)
-    steps = [
-        count(names(spark, folder), "nodes"),
-        count(extract.distinct_triples(relations(spark, folder, once=False), G), "triples"),
-        own.groupBy("graph_id").agg(F.count_distinct("canonical").alias("cleaned_nodes")),
-        count(clean.apply_node_map(relations(spark, folder, once=False), own, G), "cleaned_triples"),
-    ]
-    out = steps[0]
-    for step in steps[1:]:
-        out = out.join(step, "graph_id", "left")
-    return out.select("graph_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("nodes", "triples", "cleaned_nodes", "cleaned_triples")])
+    own = checkpointed(nodes(spark, folder))
+    found = checkpointed(extract.distinct_triples(relations(spark, folder, once=False), G))
+    moved = clean.apply_node_map(found, own, G)
+    kinds = ("nodes", "triples", "cleaned_nodes", "cleaned_triples")
+    tagged = lambda df, n: df.select("graph_id", *[F.lit(int(k == n)).alias(k) for k in kinds])
+    rows = [tagged(own, "nodes"), tagged(found, "triples"), tagged(clean.entities(own, G, blank=True), "cleaned_nodes"), tagged(moved, "cleaned_triples")]
+    counts = reduce(DataFrame.unionByName, rows).groupBy("graph_id").agg(*[F.sum(k).alias(k) for k in kinds])
+    return counts.filter("nodes > 0")
 
 
 def queries() -> dict:
@@ -279,8 +284,8 @@ def queries() -> dict:
         "view_links": _view(_curated_parts, "links"),
         "view_relations": _view(_curated_parts, "relations"),
         "view_isolated": _view(_curated_parts, "isolated"),
-        "flat_view_groups": _view(_flat_parts, "groups"),
-        "flat_view_nodes": _view(_flat_parts, "nodes"),
+        "flat_view_groups": _view(_component_parts, "groups"),
+        "flat_view_nodes": _view(_component_parts, "nodes"),
         "flat_view_links": _view(_flat_parts, "links"),
         "flat_view_relations": _view(_flat_parts, "relations"),
         "flat_view_community_groups": _view(_community_parts, "groups"),

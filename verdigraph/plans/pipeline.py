@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import json
 import logging
-import tempfile
 from collections.abc import Callable
-from datetime import datetime
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,14 +15,18 @@ from verdigraph.functions import prompts
 from verdigraph.inference.calls import ask, parsed, recorded
 from verdigraph.inference.engines import Engine, create_engine, prepare
 from verdigraph.inference.repair import parse_with_repair
-from verdigraph.operators import chunking, clean, curate, extract, graph, view
+from verdigraph.operators import chunking, clean, curate, extract, graph
+from verdigraph.plans.viewer import build_view_model
+from verdigraph.runtime import new_folder
 from verdigraph.schema import DEFAULT, RelationSchema
-from verdigraph.sources.files import Converter, read_documents
-from verdigraph.sources.graphs import as_curated, as_flat, check_graph, is_curated, load_json, save_json
+from verdigraph.sources.files import Converter, RichText, read_documents
+from verdigraph.sources.graphs import as_flat, check_graph, load_json, save_json
 from verdigraph.sources.html import write_html
 
 log = logging.getLogger("verdigraph")
 G = ["graph_id"]
+#: Unreadable files that are named in the log.
+SHOWN = 20
 
 
 def _dict(x: object) -> dict:
@@ -38,8 +40,8 @@ def _strings(x: object) -> list[str]:
 class GraphPipeline:
     """``build``, ``clean`` and ``curate`` read and write the stages' files; their tables are there for larger use."""
 
-    def __init__(self, spark: SparkSession, config: Config | None = None, schema: RelationSchema | None = None, engine: Callable[[], Engine] | Engine | None = None, converter: Converter | None = None, verbose: bool = True) -> None:
-        self.spark, self.config, self.schema, self.converter = spark, config or Config(), schema or DEFAULT, converter
+    def __init__(self, spark: SparkSession, config: Config | None = None, schema: RelationSchema | None = None, engine: Callable[[], Engine] | Engine | None = None, converter: Callable[[], Converter] | None = None, verbose: bool = True) -> None:
+        self.spark, self.config, self.schema, self.converter = spark, config or Config(), schema or DEFAULT, converter or RichText()
         settings = self.config
         self.engine = (lambda: create_engine(settings)) if engine is None else engine if callable(engine) and not hasattr(engine, "generate") else (lambda: engine)
         log.setLevel(logging.INFO if verbose else logging.ERROR)
@@ -66,7 +68,10 @@ class GraphPipeline:
         chunks = chunking.chunk_text(documents.select("doc_id", "text").filter("text is not null"), "text", self.config.chunk_size)
         asked = chunks.withColumn("prompt", F.concat(F.lit(before), F.col("chunk"), F.lit(after))).drop("chunk")
         c = self.config
+        log.info("asking for concepts and relations")
         calls = parsed(recorded(ask(asked, "prompt", self.engine, c.extraction_model, c.repair_model, c.max_repair_attempts), calls_folder))
+        counts = calls.agg(F.count(F.lit(1)), F.count_if(F.col("repairs") > 0), F.count_if(F.col("object").isNull())).first()
+        log.info("%d chunks, %d answers repaired, %d without an object", *counts)
         part = lambda name: calls.select(F.try_variant_get("v", f"$.{name}", "variant").alias("raw"))
         names = extract.concepts(part("concepts"), "raw").distinct()
         found = extract.valid_relations(extract.triples(part("relations"), "raw"), self._kinds, ["relation"])
@@ -82,19 +87,23 @@ class GraphPipeline:
 
     def build(self, input_dir: str | Path, output: str | Path | None = None, recursive: bool = False) -> dict:
         """Files to a staging graph. {} and no file if there is nothing to read or to find."""
-        docs = read_documents(self.spark, str(input_dir), recursive, self.converter).withColumnRenamed("path", "doc_id").cache()
-        for r in docs.filter("error is not null").select("doc_id", "error").collect():
+        folder = new_folder(self.spark)  # of the cluster: documents are converted, and models asked, once
+        docs = recorded(read_documents(self.spark, str(input_dir), recursive, self.converter).withColumnRenamed("path", "doc_id"), f"{folder}/documents")
+        bad = docs.filter("error is not null")
+        n, wrong = docs.count(), bad.count()
+        log.info("%d files, %d of them unreadable", n, wrong)
+        for r in bad.select("doc_id", "error").orderBy("doc_id").limit(SHOWN).collect():
             log.error("%s skipped: %s", r.doc_id, r.error)
-        with tempfile.TemporaryDirectory() if not self.spark.conf.get("spark.checkpoint.dir", None) else _Kept(self.spark.conf.get("spark.checkpoint.dir")) as folder:
-            names, found = self.extract_tables(docs.filter("error is null"), f"{folder}/calls")
-            if names.isEmpty():
-                log.error("nothing to read, or no concept found, in %s", input_dir)
-                return {}
-            names = extract.universe(names, found, [])
-            found = found.unionByName(self.link_global(names)).distinct()
-            out = self._flat(names, found)
-        docs.unpersist()
-        save_json(out, output or self.config.staging_path)
+        names, found = self.extract_tables(docs.filter("error is null"), f"{folder}/calls")
+        if names.isEmpty():
+            log.error("nothing to read, or no concept found, in %s", input_dir)
+            return {}
+        names = extract.universe(names, found, [])
+        before = found.count()
+        found = found.unionByName(self.link_global(names)).distinct()
+        out = self._flat(names, found)
+        log.info("%d relations in chunks, %d more between them", before, len(out["relations"]) - before)
+        save_json(out, output or self.config.path("staging"))
         log.info("staging: %d entities, %d relations", len(out["entities"]), len(out["relations"]))
         return out
 
@@ -115,23 +124,24 @@ class GraphPipeline:
 
     def clean(self, staging: str | Path | None = None, output: str | Path | None = None) -> dict:
         """A staging graph with names merged, mechanically and as proposed."""
-        listed, found = self._load(staging or self.config.staging_path)
+        listed, found = self._load(staging or self.config.path("staging"))
         names = extract.universe(listed, found, G)
         merged = clean.deterministic_merge(names, G, self.config.merge_qualifier_pattern, self.config.plural_suffixes)
         valid = merged.select("graph_id", F.col("representative").alias("name")).distinct()
+        log.info("%d entities, %d relations, %d names; %d when merged", listed.count(), found.count(), names.count(), valid.count())
         said = self._ask_one(prompts.cleaning_prompt(self._lines(valid, found, merged)), self.config.curation_model)
         rows = [(0, i, k, _strings(v)) for i, (k, v) in enumerate(_dict(said.get("canonical")).items())]
         proposed = self.spark.createDataFrame(rows, "graph_id long, ord int, canon string, aliases array<string>")
         drops = self.spark.createDataFrame([(0, d) for d in _strings(said.get("drop"))], "graph_id long, name string")
         nodes = clean.node_map(merged, clean.alias_map(proposed, valid, G), drops, G)
         out = self._flat(clean.entities(nodes, G), clean.apply_node_map(found, nodes, G))
-        save_json(out, output or self.config.cleaned_path)
+        save_json(out, output or self.config.path("cleaned"))
         log.info("cleaned: %d entities, %d relations", len(out["entities"]), len(out["relations"]))
         return out
 
     def curate(self, cleaned: str | Path | None = None, output: str | Path | None = None) -> dict:
         """A flat graph with concepts in domains and relations in typed groups without forbidden cycles."""
-        concepts, found = self._load(cleaned or self.config.cleaned_path)
+        concepts, found = self._load(cleaned or self.config.path("cleaned"))
         said = self._ask_one(prompts.domains_prompt(self._lines(concepts, found)), self.config.curation_model)
         rows = [(0, i, d, n) for i, (d, ns) in enumerate(_dict(said.get("domains")).items()) if isinstance(ns, list) for n in _strings(ns)]
         proposed = self.spark.createDataFrame(rows, "graph_id long, ord int, domain string, name string")
@@ -140,7 +150,9 @@ class GraphPipeline:
         kinds = self._kinds
         typed = curate.typed_relations(found, concepts, kinds, ["relation"], G)
         whole = typed.select("graph_id", "ord", "relation").distinct()
+        before = typed.count()
         typed = graph.break_cycles(typed, kinds, ["relation"], G)
+        log.info("%d concepts, %d of them in no domain; %d typed relations, %d of them closed cycles", concepts.count(), domains.filter("leftover").count(), before, before - typed.count())
         details = kinds.select("relation", F.struct("verbose", "directed", "acyclic", "use_in_embedding").alias("details"))
         row = curate.curated_graph(domains, curate.non_taggable(raw, concepts, G), typed, details, G).first()
         left = {g.details.verbose: dict(g.relations_data) for g in (row.relations or [])} if row else {}
@@ -149,49 +161,16 @@ class GraphPipeline:
             kind = self.schema[r.relation]
             groups.append({"details": kind.details(), "relations_data": left.get(kind.verbose, {})})
         out = {"concepts_by_domains": dict(row.concepts_by_domains) if row else {}, "generic_non_taggable_concepts": list((row.generic_non_taggable_concepts if row else None) or []), "relations": groups}
-        save_json(out, output or self.config.curated_path)
+        save_json(out, output or self.config.path("curated"))
         log.info("curated: %d domains, %d groups", len(out["concepts_by_domains"]), len(groups))
         return out
 
     def view_model(self, graph_json: dict, title: str = "Knowledge graph", source: str = "") -> dict:
-        """What a viewer needs of a graph of any stage, numbered."""
-        check_graph(graph_json)
-        types = self.schema.table(self.spark)
-        if is_curated(graph_json):
-            parts = view.curated_parts(as_curated(self.spark, graph_json), G, types)
-        else:
-            row = as_flat(self.spark, graph_json)
-            found = extract.array_triples(row, "relations", "graph_id")
-            names = extract.universe(row.select("graph_id", F.explode("entities").alias("name")), found, G)
-            groups = graph.communities(found, names, G)
-            labels = graph.hubs(groups, found, G, "community")
-            group_of = groups.join(labels, ["graph_id", "community"]).select("graph_id", "name", F.col("label").alias("group"))
-            parts = view.flat_parts(row.withColumn("one", F.lit(0)), G, ["one"], types.withColumn("one", F.lit(0)), group_of)
-        made = view.view_model(parts, G)
-        rows = lambda name, *order: made[name].orderBy(*order).collect()
-        kinds = [{k: r[k] for k in ("key", "verbose", "directed", "acyclic", "use_in_embedding", "count")} for r in rows("relations", "idx")]
-        lone = made["isolated"].first()
-        return {
-            "meta": {"title": title, "source": source, "kind": "curated" if is_curated(graph_json) else "flat", "generated": datetime.now().strftime("%Y-%m-%d %H:%M"), "isolated": lone.isolated if lone else 0},
-            "relations": kinds,
-            "groups": [{"name": r.group, "count": r["count"]} for r in rows("groups", "idx")],
-            "nodes": [[r.name, r.group_idx, r.flag] for r in rows("nodes", "idx")],
-            "links": [[r.s, r.t, r.r] for r in rows("links", "r", "s", "t")],
-        }
+        return build_view_model(self.spark, graph_json, self.schema, title, source)
 
     def visualize(self, path: str | Path, output: str | Path | None = None, title: str | None = None, show: bool = False) -> Path:
-        title = title or Path(path).stem.replace("_", " ")
-        return write_html(self.view_model(load_json(path), title, str(path)), output or self.config.viewer_path, show)
-
-
-class _Kept:
-    """A folder that stays."""
-
-    def __init__(self, folder: str) -> None:
-        self.folder = f"{folder.rstrip('/')}/verdigraph-{datetime.now():%Y%m%d%H%M%S%f}"
-
-    def __enter__(self) -> str:
-        return self.folder
-
-    def __exit__(self, *_: object) -> None:
-        pass
+        path = Path(path)
+        model = self.view_model(load_json(path), title or path.stem.replace("_", " "), path.name)
+        out = write_html(model, output or self.config.path("viewer"), show)
+        log.info("viewer: %d nodes, %d links, %d groups, %d relation types in %s", *(len(model[k]) for k in ("nodes", "links", "groups", "relations")), out)
+        return out

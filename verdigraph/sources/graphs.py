@@ -54,12 +54,8 @@ def as_curated(spark: SparkSession, graph: dict) -> DataFrame:
 
 
 def view_source(config: Config, explicit: str | None = None) -> Path:
-    """The given file, or the furthest stage there is."""
-    if explicit:
-        if not Path(explicit).exists():
-            raise FileNotFoundError(f"no such graph: {explicit}")
-        return Path(explicit)
-    for path in (config.curated_path, config.cleaned_path, config.staging_path):
-        if path.exists():
-            return path
-    raise FileNotFoundError(f"no graph of any stage in {config.output_dir}")
+    """The given file, or that of the furthest stage there is."""
+    found = [Path(explicit)] if explicit else [config.path(stage) for stage in ("curated", "cleaned", "staging")]
+    for path in filter(Path.exists, found):
+        return path
+    raise FileNotFoundError(f"no such graph: {explicit}" if explicit else f"no graph of any stage in {config.output_dir}")
