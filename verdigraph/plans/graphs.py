@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from verdigraph.functions.text import name_key, slug, strip, universal_newlines
 from verdigraph.operators import chunking, clean, curate, extract, graph, view
+from verdigraph.operators.hierarchy import hierarchy
 from verdigraph.runtime import checkpointed, table
 
 G = ["graph_id"]
@@ -178,6 +179,21 @@ def removed_relations(spark: SparkSession, folder: str) -> DataFrame:
     return graph.back_edges(strict, ["graph_id", "relation"])
 
 
+def removed_checked(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each graph and acyclic kind: its relations, kept and removed; nodes still on a cycle; relations removed that closed none."""
+    kinds_ = kinds(spark, folder)
+    strict = checkpointed(typed(spark, folder).join(kinds_.filter("directed and acyclic"), ON, "left_semi"))
+    keys = ["graph_id", "relation"]
+    kept = checkpointed(graph.break_cycles(strict, kinds_, ON, G).select(*keys, "source", "target"))
+    removed = checkpointed(removed_relations(spark, folder))
+    left = hierarchy(kept, keys, "target", "source", "cycles").select(*keys)
+    below = hierarchy(kept, keys, "target", "source", "descendants").select(*keys, F.col("node").alias("target"), F.col("descendant").alias("source"))
+    idle = removed.filter("source <> target").join(below, [*keys, "source", "target"], "left_anti").select(*keys)
+    tagged = lambda df, n: df.select(*keys, *[F.lit(int(k == n)).alias(k) for k in ("links", "cycles_left", "idle")])
+    rows = [tagged(kept, "links"), tagged(removed, "links"), tagged(left, "cycles_left"), tagged(idle, "idle")]
+    return reduce(DataFrame.unionByName, rows).groupBy(*keys).agg(*[F.sum(k).alias(k) for k in ("links", "cycles_left", "idle")])
+
+
 def components(spark: SparkSession, folder: str) -> DataFrame:
     return graph.components(relations(spark, folder, once=False), names(spark, folder), G)
 
@@ -186,6 +202,27 @@ def communities(spark: SparkSession, folder: str) -> DataFrame:
     return graph.communities(relations(spark, folder, once=False), names(spark, folder), G)
 
 
+def communities_checked(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each graph: its names; linked pairs of communities that would be better as one; whether modularity is below that of single names."""
+    own = checkpointed(communities(spark, folder))
+    simple = relations(spark, folder, once=False).select("graph_id", F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()
+    of = lambda c: own.select("graph_id", F.col("name").alias(c), F.col("community").alias(f"c{c}"))
+    links = checkpointed(simple.join(of("a"), ["graph_id", "a"]).join(of("b"), ["graph_id", "b"]))
+    total = links.groupBy("graph_id").agg(F.count(F.lit(1)).alias("m"))
+    degree = links.select("graph_id", F.explode(F.array(F.struct(F.col("a").alias("name"), F.col("ca").alias("c")), F.struct(F.col("b").alias("name"), F.col("cb").alias("c")))).alias("e")).groupBy("graph_id", "e.c", "e.name").agg(F.count(F.lit(1)).alias("d"))
+    load = checkpointed(degree.groupBy("graph_id", "c").agg(F.sum("d").alias("d"), F.sum(F.col("d") * F.col("d")).alias("d2")))
+    side = lambda c: load.select("graph_id", F.col("c").alias(c), F.col("d").alias(f"d{c}"))
+    between = links.filter("ca <> cb").groupBy("graph_id", F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.count(F.lit(1)).alias("w"))
+    better = between.join(side("x"), ["graph_id", "x"]).join(side("y"), ["graph_id", "y"]).join(total, "graph_id").filter("w - dx * dy / (2 * m) > 1e-9")
+    inner = links.filter("ca = cb").groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"))
+    sums = load.groupBy("graph_id").agg(F.sum(F.col("d") * F.col("d")).alias("all"), F.sum("d2").alias("alone"))
+    worse = sums.join(total, "graph_id").join(inner, "graph_id", "left").filter("coalesce(n, 0) / m - (all - alone) / (4 * m * m) < -1e-9")
+    kinds_ = ("names", "better", "worse")
+    tagged = lambda df, n: df.select("graph_id", *[F.lit(int(k == n)).alias(k) for k in kinds_])
+    rows = [tagged(own, "names"), tagged(better, "better"), tagged(worse, "worse")]
+    return reduce(DataFrame.unionByName, rows).groupBy("graph_id").agg(*[F.sum(k).alias(k) for k in kinds_])
+
+
 def cluster_hubs(spark: SparkSession, folder: str) -> DataFrame:
     return graph.hubs(components(spark, folder), relations(spark, folder, once=False), G, "component")
 
@@ -274,6 +311,8 @@ def queries() -> dict:
         "typed_relations": typed_relations,
         "acyclic_relations": acyclic_relations,
         "removed_relations": removed_relations,
+        "removed_checked": removed_checked,
+        "communities_checked": communities_checked,
         "components": components,
         "communities": communities,
         "cluster_hubs": cluster_hubs,
@@ -469,6 +508,9 @@ SELECT n.graph_id, coalesce(p.domain, 'Unclassified') AS domain, n.name, p.domai
         "non_taggable": s.rstrip() + """, c AS (SELECT DISTINCT graph_id, unnest(generic_non_taggable_concepts) AS name FROM knowledge_graph_autogenerated)
 SELECT c.graph_id, c.name FROM c JOIN concepts n ON n.graph_id = c.graph_id AND n.name = c.name""",
         "typed_relations": t + "SELECT graph_id, relation, source, string_agg(target, chr(10) ORDER BY target) AS targets FROM typed WHERE relation IS NOT NULL GROUP BY graph_id, relation, source",
+        # What holds of any right result: which of several links closes a cycle, or which communities are found, no SQL can say.
+        "removed_checked": t + "SELECT graph_id, typed.relation, count(*) AS links, 0 AS cycles_left, 0 AS idle FROM typed JOIN relation_types k ON k.vocabulary = typed.vocabulary AND k.rel_key = typed.relation WHERE k.directed AND k.acyclic GROUP BY graph_id, typed.relation",
+        "communities_checked": s + "SELECT graph_id, count(*) AS names, 0 AS better, 0 AS worse FROM names GROUP BY graph_id",
         "components": components + " SELECT graph_id, name, component FROM components",
         "cluster_hubs": components + ", " + _hubs("rel") + " SELECT graph_id, component, label FROM hubs",
         "curated_edges": _CURATED + " SELECT graph_id, rel, source, target FROM edges",
