@@ -36,7 +36,8 @@ def _late() -> tuple[str, str]:
 
 def folded(text: Column) -> Column:
     """Without case; what follows a letter never matters."""
-    return F.translate(F.lower(text), *_late())
+    low = F.lower(text)
+    return F.when(F.octet_length(text) == F.char_length(text), low).otherwise(F.translate(low, *_late()))
 
 
 def canonical(entry: Column) -> Column:
