@@ -127,32 +127,41 @@ class Model:
     #: Measured in training: sentences of samples held out that are right; of known sentences kept, of left-out languages' rejected.
     figures: dict[str, float] = field(default_factory=dict)
     known: dict[str, int] = field(default_factory=dict)
-    word_scores: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    word_scores: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
+    word_met: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
 
     def words(self, words: list[str]) -> np.ndarray:
-        """Rows of ``word_scores``: summed scores and the number of subwords, telling ones met and their number."""
+        """Rows of ``word_scores`` (summed scores, number of subwords) and ``word_met`` (telling ones met, and their number)."""
         if len(self.known) > KEPT:
             self.known.clear()
-            self.word_scores = np.zeros((0, 0))
-        if not self.word_scores.size:
-            self.word_scores = np.zeros((0, 2 * len(self.codes) + 2))
+        if not self.known:
+            self.word_scores = self.word_met = np.zeros((0, len(self.codes) + 1), np.float32)
         if new := sorted(set(words).difference(self.known)):
             bags = [np.array(subwords(w)) for w in new]
             tells = [b[-telling(w) :] for w, b in zip(new, bags)]
-            total = lambda table, parts: np.add.reduceat(table[np.concatenate(parts) % len(table)], np.cumsum([0, *map(len, parts)])[:-1], axis=0, dtype=np.float64)
             base = len(self.known)
             self.known.update({w: base + k for k, w in enumerate(new)})
-            self.word_scores = np.concatenate((self.word_scores, np.column_stack((total(self.scores, bags), [*map(len, bags)], total(self.met, tells), [*map(len, tells)]))))
+            self.word_scores = np.concatenate((self.word_scores, self._sums(self.scores, bags)))
+            self.word_met = np.concatenate((self.word_met, self._sums(self.met, tells)))
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
-    def judge(self, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Language (-1: none) and confidence from summed word scores."""
-        n = len(self.codes)
-        p = softmax(sums[:, :n] / np.maximum(sums[:, n : n + 1], 1) + self.bias)
+    @staticmethod
+    def _sums(table: np.ndarray, parts: list[np.ndarray]) -> np.ndarray:
+        size = np.array([*map(len, parts)])
+        sums = np.add.reduceat(table[np.concatenate(parts) % len(table)], np.cumsum(size) - size, axis=0, dtype=np.float32)
+        return np.column_stack((sums, size.astype(np.float32)))
+
+    def judge(self, rows: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Language (-1: none) and confidence of n sentences; each has words, as rows with their sentence."""
+        if not n:
+            return np.zeros(0, np.int64), np.zeros(0)
+        first = np.searchsorted(owner, np.arange(n))
+        sums = np.add.reduceat(self.word_scores[rows], first, axis=0, dtype=np.float64)
+        p = softmax(sums[:, :-1] / np.maximum(sums[:, -1:], 1) + self.bias)
         best = p.argmax(axis=1)
-        at = np.arange(len(p))
-        confidence = p[at, best] if len(p) else np.zeros(0)
-        share = sums[at, n + 1 + best] / np.maximum(sums[:, -1], 1)
+        confidence = p[np.arange(n), best]
+        met = np.add.reduceat(self.word_met[rows, best[owner]], first, dtype=np.float64)
+        share = met / np.maximum(np.add.reduceat(self.word_met[rows, -1], first, dtype=np.float64), 1)
         return np.where((confidence >= self.limit) & (share >= self.least_met), best, -1), confidence
 
 
@@ -353,11 +362,7 @@ def judged(text: pa.Array, model: Model) -> tuple[Sentences, np.ndarray, np.ndar
     """Sentences of a batch with language (-1: none) and confidence."""
     s = Sentences(text)
     words, owner = s.words()
-    if not len(s.start):
-        return s, np.zeros(0, np.int64), np.zeros(0)
-    rows = model.words(words)
-    sums = np.add.reduceat(model.word_scores[rows], np.searchsorted(owner, np.arange(len(s.start))), axis=0)
-    return s, *model.judge(sums)
+    return s, *model.judge(model.words(words), owner, len(s.start))
 
 
 SCHEMAS = {
