@@ -195,11 +195,11 @@ def removed_checked(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def components(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.components(relations(spark, folder, once=False), names(spark, folder), G)
+    return graph.components(relations(spark, folder, once=False), listed(spark, folder), G)  # the ends are names anyway
 
 
 def communities(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.communities(relations(spark, folder, once=False), names(spark, folder), G)
+    return graph.communities(relations(spark, folder, once=False), listed(spark, folder), G)
 
 
 def communities_checked(spark: SparkSession, folder: str) -> DataFrame:
